@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, rules
+from . import licenses, packing, rules, suffix_dedup
 
 
 def queries() -> dict:
     found = {}
-    for module in (licenses, packing, rules):
+    for module in (licenses, packing, rules, suffix_dedup):
         found |= {k: v for k, v in vars(module).items() if k.startswith("op") and k[2].isdigit()}
     return found
 
