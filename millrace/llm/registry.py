@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, pii, rules, suffix_dedup
+from . import licenses, packing, pii, rules, simhash, suffix_dedup
 
 
 def queries() -> dict:
     found = {}
-    for module in (licenses, packing, pii, rules, suffix_dedup):
+    for module in (licenses, packing, pii, rules, simhash, suffix_dedup):
         found |= {k: v for k, v in vars(module).items() if k.startswith("op") and k[2].isdigit()}
     return found
 
