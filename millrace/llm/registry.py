@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, neighbours, packing, pii, rules, simhash, suffix_dedup
+from . import bpe, licenses, neighbours, packing, pii, rules, simhash, suffix_dedup
 
 
 def queries() -> dict:
     found = {}
-    for module in (licenses, neighbours, packing, pii, rules, simhash, suffix_dedup):
+    for module in (bpe, licenses, neighbours, packing, pii, rules, simhash, suffix_dedup):
         found |= {k: v for k, v in vars(module).items() if k.startswith("op") and k[2].isdigit()}
     return found
 
