@@ -210,7 +210,8 @@ def merge_digests(packed: DataFrame) -> DataFrame:
 
 def repeated_starts(texts: DataFrame, length: int, gram: int, group_rows: int) -> DataFrame:
     """tk and its repeated starts as (run's start, relative starts or null for all ``n`` of the run)."""
-    candidates = written(text_runs(texts, length, gram).join(count_keys(texts, length, gram), "key"), "candidates")
+    keys = written(count_keys(texts, length, gram), "keys")  # read back, so that a hot key's part of the join can be split
+    candidates = written(text_runs(texts, length, gram).join(keys, "key"), "candidates")
     kinds = candidates.groupBy("key", "bh").agg(F.count("*").alias("times"), F.min(F.struct("tk", "start", "n", "back")).alias("at"))
     per_key = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
     kinds = written(kinds.join(per_key, "key"), "kinds")
