@@ -56,8 +56,8 @@ def _grams(raw: bytes) -> np.ndarray:
     return out
 
 
-def marking_grams(toxic: list[bytes], ordinary: list[bytes], least_share: float = 0.02, times: float = 15) -> np.ndarray:
-    """Grams that a larger share of the toxic texts holds, ``times`` that of the ordinary ones. Sorted."""
+def marking_grams(toxic: list[bytes], ordinary: list[bytes], least_share: float = 0.03, times: float = 40) -> np.ndarray:
+    """Grams inside a word, or with the blank before it, that at least ``least_share`` of the toxic texts hold, ``times`` the share of the ordinary ones. Sorted."""
     seen = [np.unique(np.concatenate([np.unique(_grams(t)) for t in texts] or [np.zeros(0, np.int64)]), return_counts=True) for texts in (toxic, ordinary)]
     (grams, n), (others, m) = seen
     often = n >= max(3, least_share * len(toxic))
@@ -65,7 +65,9 @@ def marking_grams(toxic: list[bytes], ordinary: list[bytes], least_share: float
     at = np.searchsorted(others, grams)
     at[at == len(others)] = 0
     there = np.where(others[at] == grams, m[at], 0) if len(others) else np.zeros(len(grams))
-    return grams[n / len(toxic) >= times * (there + 0.5) / max(1, len(ordinary))]
+    grams = grams[n / len(toxic) >= times * (there + 0.5) / max(1, len(ordinary))]
+    inside = [all(b not in b" \n.,;:!?" for b in int(g).to_bytes(GRAM, "big")[1:]) and int(g).to_bytes(GRAM, "big")[0] not in b"\n.,;:!?" for g in grams]
+    return grams[np.array(inside, bool)]
 
 
 def marked_words(raw: bytes, grams: np.ndarray) -> list[bytes]:
@@ -96,11 +98,11 @@ class Model:
     ordinary: bytes
     toxic: bytes
     weights: list[float]
-    size: int = 64
+    size: int = 48
 
     def _compressors(self):
-        p = zstandard.ZstdCompressionParameters(compression_level=3, min_match=3, strategy=zstandard.STRATEGY_BTOPT, window_log=15, hash_log=13, chain_log=13, write_content_size=False, write_checksum=False, write_dict_id=False)
-        for content in (self.ordinary, self.ordinary + self.toxic):
+        p = zstandard.ZstdCompressionParameters(compression_level=3, min_match=3, strategy=zstandard.STRATEGY_BTOPT, window_log=15, hash_log=14, chain_log=15, search_log=7, write_content_size=False, write_checksum=False, write_dict_id=False)
+        for content in (self.ordinary, self.toxic + self.ordinary):  # the ordinary part stays as near, so that only toxic matches differ
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
             yield zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
@@ -139,7 +141,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int = 8000, ordinary_bytes: int = 16384, toxic_bytes: int = 4096, size: int = 64) -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int = 8000, ordinary_bytes: int = 16384, toxic_bytes: int = 2048, size: int = 48) -> Model:
     """From at most ``sample_rows`` labelled rows: half of them for the dictionaries, half for the fit."""
     rows = [(zlib.crc32(str(r["doc_id"]).encode() + b"half"), r["doc_id"], r["text"], r["y"]) for r in labelled_sample(docs, labels, "toxic", sample_rows, keep).select("doc_id", "text", "y").collect()]
     rows.sort(key=lambda r: r[:3])
