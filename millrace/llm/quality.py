@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import fold, labelled_sample, map_batches, table
 from .toxicity import logistic
@@ -134,28 +135,30 @@ def fit_quality(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int
     return model
 
 
-def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and score of every row; no shuffle."""
+def score_documents(docs: DataFrame, model: Model, score_name: str = "score") -> DataFrame:
+    """The rows and columns of ``docs`` with their score in a column of its own; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [docs.schema[c] for c in keep]
-    rows = docs.select(*keep, F.col("text").alias("_body"))
+    names = docs.columns
+    at = names.index("text")
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = shared.value
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([own.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.float64())], names=[*keep, "_score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.score(t) for t in batch.column(at).to_pylist()], pa.float64())], names=[*names, score_name])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["_score double"])
-    return map_batches(rows, score, schema)
+    return map_batches(docs, score, StructType([*docs.schema.fields, StructField(score_name, DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, keep=None, **how) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``least``."""
     model = fit_quality(docs, labels, keep, **how)
-    return score_documents(docs, model, tuple(docs.columns)).where(F.col("_score") >= least).drop("_score")
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return score_documents(docs, model, name).where(F.col(name) >= least).drop(name)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
     scored = score_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

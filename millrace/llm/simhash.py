@@ -51,14 +51,15 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp (its 64 bits as a long) of every row."""
+def fingerprints(docs: DataFrame, words: int = 4, with_digest: bool = False) -> DataFrame:
+    """doc_id and fp (its 64 bits as a long) of every row, and tk, the text's md5, where asked for."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sign, "doc_id long, fp long")
+    tk = [F.md5(F.coalesce("text", F.lit(""))).alias("tk")] if with_digest else []
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *tk), sign, "doc_id long, fp long" + ", tk string" * with_digest)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -196,16 +197,40 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Ite
         yield fp, group
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of the group) of every row."""
-    prints = written(fingerprints(docs, words), "fingerprints")
+def groups_of(prints: DataFrame, most: int = 4) -> DataFrame:
+    """(fp, component_id) of the different fingerprints of a table with doc_id and fp: the smallest doc_id of each group."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
     roots = connected(link_edges(distinct.select("fp"), most))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     least = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "components")
-    named = written(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return written(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id of the group) of every row."""
+    prints = written(fingerprints(docs, words), "fingerprints")
+    return prints.join(groups_of(prints, most), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row with the smallest doc_id (null last, then the smallest
+    digest of the text); of rows equal in both, any one."""
+    tk = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    signed = fingerprints(docs.select("doc_id", "text"), words, with_digest=True)
+    prints = written(signed, "fingerprints")
+    rows = prints.join(groups_of(prints, most), "fp").groupBy("root", "doc_id", "tk").agg(F.count("*").alias("times"))
+    rows = written(rows, "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
+    first = written(rows.groupBy("root").agg(F.min(order).alias("first")), "first")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tk") == F.col("first.tk"))
+    away = rows.join(first, "root").where(~kept | (F.col("times") > 1)).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), kept.alias("_kept"))
+    away = written(away, "away")
+    same = lambda t: docs["doc_id"].cast("long").eqNullSafe(t["_id"]) & (tk == t["_tk"])
+    again = away.where("_kept")
+    once = docs.join(away, same(away), "left_anti")
+    repeated = docs.join(again, same(again), "left_semi").withColumn("_tk", tk).dropDuplicates(["doc_id", "_tk"]).drop("_tk")
+    return once.unionByName(repeated)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -285,14 +285,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, **how) -> DataFrame:
     """The rows of ``docs`` with repeated strings cut out of ``text`` (a character that a cut parts is dropped) and ``n_chars``
     brought up to date where that column is there."""
     _, spans = repeat_spans(docs, length, **how)
-    spans = spans.where(F.size("spans") > 0).select(F.col("tk").alias("_tk"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))) == F.col("_tk"), "left").drop("_tk")
+    spans = spans.where(F.size("spans") > 0).select(F.col("tk").alias("_removed_tk"), F.col("spans").alias("_removed_spans"))
+    joined = docs.join(spans, F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))) == F.col("_removed_tk"), "left").drop("_removed_tk")
     names = docs.columns
     at = names.index("text")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t if not s else kept((t or "").encode(), [(x["start"], x["end"]) for x in s]).decode(errors="ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
-        arrays = [pa.array(texts, pa.string()) if i == at else batch.column(c) for i, c in enumerate(names)]
+        texts = [t if not s else kept((t or "").encode(), [(x["start"], x["end"]) for x in s]).decode(errors="ignore") for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+        arrays = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     out = map_batches(joined, cut, docs.schema)
