@@ -1,19 +1,13 @@
-"""All queries outside the llm package, by name."""
+"""All queries outside the llm package, by name, and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def _trend_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.round(F.avg("o_totalprice"), 4).alias("avg_value"), F.count("*").alias("n"))
+from .queries import QUERIES, SQL
 
 
 def queries() -> dict:
-    return {"trend_yearly": _trend_yearly}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"trend_yearly": "SELECT CAST(year(o_orderdate) AS BIGINT) AS year, round(avg(o_totalprice), 4) AS avg_value, count(*) AS n FROM orders GROUP BY 1"}
+    return dict(SQL)
