@@ -8,16 +8,20 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Separators in the order in which a cut looks for them.
 SEPARATORS = ("\n\n", ". ", ".\n", "\n", " ")
 
 
-@F.pandas_udf("string")
-def _nfkc(texts: pd.Series) -> pd.Series:
+def _normal(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(c: Column) -> Column:
+    return F.pandas_udf(_normal, StringType())(c)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -39,7 +43,7 @@ def clean(df: DataFrame, column: str) -> DataFrame:
     """The column cleaned. Spark has no NFKC, so that step is Python's, and only for texts beyond ASCII."""
     ascii_only = F.col(column).isNull() | ~F.col(column).rlike(r"[^\x00-\x7F]")
     plain = df.where(ascii_only).withColumn(column, rules(F.col(column)))
-    other = df.where(~ascii_only).withColumn(column, _nfkc(F.col(column))).withColumn(column, rules(F.col(column)))
+    other = df.where(~ascii_only).withColumn(column, nfkc(F.col(column))).withColumn(column, rules(F.col(column)))
     return plain.unionByName(other)
 
 

@@ -154,3 +154,10 @@ def catalog_profile(t):
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal IS NOT NULL")
 def feature_select(t):
     return t("customer").select("c_custkey", "c_acctbal").where(R.finite("c_acctbal"))
+
+
+@query("SELECT 'nation' AS sheet, n_nationkey AS row, CAST(0 AS INTEGER) AS col, CAST(n_nationkey AS VARCHAR) AS value FROM nation UNION ALL SELECT 'nation', n_nationkey, 1, n_name FROM nation")
+def grid_scan(t):
+    # a table as a sheet of cells; workbooks come from sources.files.read_sheets
+    cells = F.inline(F.array(*(F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("value")) for i, c in enumerate(("n_nationkey", "n_name")))))
+    return t("nation").select(F.lit("nation").alias("sheet"), F.col("n_nationkey").alias("row"), cells)
