@@ -14,7 +14,7 @@ def test_stages(spark, docs, odd, tmp_path):
     pairs = [(i, text(80)) for i in range(100)] + [(200 + i, " ".join(w.upper() + "!!" for w in text(80).split())) for i in range(40)]
     pairs += [(300, copied), (301, copied), (302, text(40) + " " + passage + " " + text(40)), (303, text(50) + " " + passage), (304, text(60) + " write to me@example.com")]
     df = docs(pairs)
-    spark.createDataFrame([(i, int(i < 200), 0) for i, _ in pairs], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, int(not 200 <= i < 240), 0) for i, _ in pairs], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert [n for n, _ in C.STAGES] == ["quality", "near_copies", "repeats", "personal_data", "packing"]
     seen = {}
     for name, stage in C.STAGES:
