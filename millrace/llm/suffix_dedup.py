@@ -213,7 +213,8 @@ def repeated_starts(texts: DataFrame, length: int, gram: int, group_rows: int) -
     keys = written(count_keys(texts, length, gram), "keys")  # read back, so that a hot key's part of the join can be split
     candidates = written(text_runs(texts, length, gram).join(keys, "key"), "candidates")
     kinds = candidates.groupBy("key", "bh").agg(F.count("*").alias("times"), F.min(F.struct("tk", "start", "n", "back")).alias("at"))
-    per_key = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
+    kinds = written(kinds, "kinds")
+    per_key = written(kinds.groupBy("key").agg(F.count("*").alias("kinds")), "per_key")  # read back for the same reason
     kinds = written(kinds.join(per_key, "key"), "kinds")
 
     many = kinds.where("kinds > 1").withColumn("subs", F.ceil(F.col("kinds") / group_rows)).withColumn("sub", F.pmod("bh", "subs"))
