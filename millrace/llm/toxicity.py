@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on windows of ordinary texts and one on what marks toxic
-texts off: the words around byte n-grams that toxic texts of the sample hold far more often. A
+texts off: the stretches of byte n-grams that occur far more often in toxic texts of the sample. A
 window of a text is compressed once against the ordinary dictionary and once against both
 together; the saving in bytes tells how much of it only the toxic side explains. Shares of windows
 beyond thresholds, the mean and the largest saving become a score by a logistic fit on labelled
@@ -29,9 +29,20 @@ from pyspark.sql import functions as F
 
 from .common import fold, labelled_sample, map_batches, table
 
-GRAM = 5
+GRAM = 7
 #: Saved bytes beyond which a window counts as marked, and as strongly marked.
-MARKED, STRONG = 2, 5
+MARKED, STRONG = 2, 3
+#: Shortest match in bytes that the compressors use: shorter ones are chance.
+MATCH = 6
+
+
+_SEPARATORS = bytes(b for b in range(128) if not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A))
+_TO_BLANK = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
+
+
+def words_only(text: str | None) -> bytes:
+    """The text's words in lower case, with one blank before, between and after them."""
+    return b" %s " % b" ".join((text or "").lower().encode().translate(_TO_BLANK).split())
 
 
 def windows(raw: bytes, size: int) -> list[bytes]:
@@ -56,32 +67,52 @@ def _grams(raw: bytes) -> np.ndarray:
     return out
 
 
-def marking_grams(toxic: list[bytes], ordinary: list[bytes], least_share: float = 0.03, times: float = 40) -> np.ndarray:
-    """Grams inside a word, or with the blank before it, that at least ``least_share`` of the toxic texts hold, ``times`` the share of the ordinary ones. Sorted."""
-    seen = [np.unique(np.concatenate([np.unique(_grams(t)) for t in texts] or [np.zeros(0, np.int64)]), return_counts=True) for texts in (toxic, ordinary)]
-    (grams, n), (others, m) = seen
-    often = n >= max(3, least_share * len(toxic))
+def _counted(texts: list[bytes], grams: np.ndarray | None = None, most: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams (by default all) of the texts, sorted, in how many texts each occurs, and how often in all (at most ``most`` times a text)."""
+    if grams is None:
+        found = [np.unique(_grams(t)) for t in texts]
+        grams = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    texts_with, times = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
+    for t in texts if len(grams) else ():
+        own, n = np.unique(_grams(t), return_counts=True)
+        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        known = grams[at] == own
+        texts_with[at[known]] += 1
+        times[at[known]] += np.minimum(n[known], most)
+    return grams, texts_with, times
+
+
+def marking_grams(toxic: list[bytes], ordinary: list[bytes], least_share: float = 0.02, times: float = 12) -> np.ndarray:
+    """Grams inside a word, or with a blank before or after it, that at least ``least_share`` of the toxic texts hold and that occur
+    ``times`` as often there, byte for byte, as in the ordinary texts. Sorted."""
+    grams, texts, n = _counted(toxic)
+    often = texts >= max(3, least_share * len(toxic))
     grams, n = grams[often], n[often]
-    at = np.searchsorted(others, grams)
-    at[at == len(others)] = 0
-    there = np.where(others[at] == grams, m[at], 0) if len(others) else np.zeros(len(grams))
-    grams = grams[n / len(toxic) >= times * (there + 0.5) / max(1, len(ordinary))]
-    inside = [all(b not in b" \n.,;:!?" for b in int(g).to_bytes(GRAM, "big")[1:]) and int(g).to_bytes(GRAM, "big")[0] not in b"\n.,;:!?" for g in grams]
+    _, _, there = _counted(ordinary, grams)
+    grams = grams[n / sum(map(len, toxic)) >= times * (there + 0.5) / max(1, sum(map(len, ordinary)))]
+    inside = [b" " not in int(g).to_bytes(GRAM, "big")[1:-1] for g in grams]
     return grams[np.array(inside, bool)]
 
 
-def marked_words(raw: bytes, grams: np.ndarray) -> list[bytes]:
-    """Words (with a blank before) that a marking gram lies in or begins."""
-    out, last = [], -1
+def marked_stretches(raw: bytes, grams: np.ndarray) -> list[bytes]:
+    """The maximal stretches that overlapping marking grams cover."""
+    out, start, end = [], 0, 0
     for i in np.flatnonzero(np.isin(_grams(raw), grams)).tolist():
-        while i < len(raw) and raw[i] in b" \n":
-            i += 1
-        if i <= last:
-            continue
-        start = max(raw.rfind(b" ", 0, i), raw.rfind(b"\n", 0, i)) + 1
-        last = min(x for x in (raw.find(b" ", i), raw.find(b"\n", i), len(raw)) if x >= 0)
-        out.append(b" " + raw[start : min(last, start + 24)])
-    return out
+        if i >= end:
+            out.append(raw[start:end])
+            start = i
+        end = i + GRAM
+    return [x for x in (*out, raw[start:end]) if x]
+
+
+def common_stretches(texts: list[list[bytes]], least_share: float = 0.05) -> list[bytes]:
+    """The stretches, repeats included, that at least ``least_share`` of the toxic texts hold; all where none is that common."""
+    texts_with: dict[bytes, int] = {}
+    for t in texts:
+        for w in set(t):
+            texts_with[w] = texts_with.get(w, 0) + 1
+    often = [w for t in texts for w in t if texts_with[w] >= max(3, least_share * len(texts))]
+    return often or [w for t in texts for w in t]
 
 
 def _trained(size: int, samples: list[bytes]) -> bytes:
@@ -101,7 +132,7 @@ class Model:
     size: int = 48
 
     def _compressors(self):
-        p = zstandard.ZstdCompressionParameters(compression_level=3, min_match=3, strategy=zstandard.STRATEGY_BTOPT, window_log=15, hash_log=14, chain_log=15, search_log=7, write_content_size=False, write_checksum=False, write_dict_id=False)
+        p = zstandard.ZstdCompressionParameters(compression_level=3, min_match=MATCH, strategy=zstandard.STRATEGY_BTLAZY2, window_log=15, hash_log=14, chain_log=15, search_log=7, write_content_size=False, write_checksum=False, write_dict_id=False)
         for content in (self.ordinary, self.toxic + self.ordinary):  # the ordinary part stays as near, so that only toxic matches differ
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
@@ -114,7 +145,7 @@ class Model:
         if "_both" not in vars(self):
             self._both = tuple(self._compressors())
         plain, both = self._both
-        saved = np.array([len(plain(w)) - len(both(w)) for w in windows((text or "").encode().lower(), self.size)])
+        saved = np.array([len(plain(w)) - len(both(w)) for w in (w + b" " for w in windows(words_only(text), self.size))])
         return [float((saved >= MARKED).mean()), float((saved >= STRONG).mean()), float(saved.mean()), float(saved.max()) / 10, float(np.log1p((saved >= MARKED).sum())), float(np.log1p((saved >= STRONG).sum())), float(np.log1p(len(saved)))]
 
     def score(self, text: str | None) -> float:
@@ -141,17 +172,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int = 8000, ordinary_bytes: int = 16384, toxic_bytes: int = 2048, size: int = 48) -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int = 8000, ordinary_bytes: int = 8192, toxic_bytes: int = 2048, size: int = 48) -> Model:
     """From at most ``sample_rows`` labelled rows: half of them for the dictionaries, half for the fit."""
     rows = [(zlib.crc32(str(r["doc_id"]).encode() + b"half"), r["doc_id"], r["text"], r["y"]) for r in labelled_sample(docs, labels, "toxic", sample_rows, keep).select("doc_id", "text", "y").collect()]
     rows.sort(key=lambda r: r[:3])
     first, second = [r for r in rows if r[0] % 2 == 0], [r for r in rows if r[0] % 2]
-    toxic = [t.encode().lower() for _, _, t, y in first if y]
-    plain = [t.encode().lower() for _, _, t, y in first if not y]
+    toxic = [words_only(t) for _, _, t, y in first if y]
+    plain = [words_only(t) for _, _, t, y in first if not y]
     if not toxic or not plain or len({y for *_, y in second}) < 2:
         return Model(b"", b"", [], size)
     grams = marking_grams(toxic, plain)
-    words = [w for t in toxic for w in marked_words(t, grams)]
+    words = common_stretches([marked_stretches(t, grams) for t in toxic])
     model = Model(_trained(ordinary_bytes, [w for t in plain[:3000] for w in windows(t, size)]), _trained(toxic_bytes, [b"".join(words[i : i + 8]) for i in range(0, len(words), 8)]), [], size)
     x = _shaped(np.array([model.features(t) for _, _, t, _ in second]))
     model.weights = logistic(x, np.array([y for *_, y in second], float)).tolist()
