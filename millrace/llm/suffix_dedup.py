@@ -282,22 +282,25 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, **how) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, group_rows: int = 256) -> DataFrame:
     """The rows of ``docs`` with repeated strings cut out of ``text`` (a character that a cut parts is dropped) and ``n_chars``
-    brought up to date where that column is there."""
-    _, spans = repeat_spans(docs, length, **how)
-    spans = spans.where(F.size("spans") > 0).select(F.col("tk").alias("_removed_tk"), F.col("spans").alias("_removed_spans"))
-    joined = docs.join(spans, F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))) == F.col("_removed_tk"), "left").drop("_removed_tk")
-    names = docs.columns
-    at = names.index("text")
+    brought up to date where that column is there. Each different text is cut once and then meets its rows, which come without theirs."""
+    texts = distinct_texts(docs)
+    starts = repeated_starts(texts, length, min(gram, max(1, length // 3)), group_rows)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t if not s else kept((t or "").encode(), [(x["start"], x["end"]) for x in s]).decode(errors="ignore") for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
-        arrays = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-        return pa.RecordBatch.from_arrays(arrays, names=names)
+        left = []
+        for text, copies, hits in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            raw = text.encode()
+            left.append(kept(raw, spans_of(len(raw), hits, copies, length)).decode(errors="ignore"))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], names=["_cut_tk", "_cut_text"])
 
-    out = map_batches(joined, cut, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    joined = texts.join(starts, "tk", "left").select("tk", "text", "copies", "runs")
+    cuts = map_batches(joined, cut, "_cut_tk binary, _cut_text string")
+    names = docs.columns
+    rows = docs.select(*(docs[c] for c in names if c != "text"), docs["text"].isNull().alias("_cut_none"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("_cut_key"))
+    rows = rows.join(cuts, F.col("_cut_key") == F.col("_cut_tk")).withColumn("text", F.when(~F.col("_cut_none"), F.col("_cut_text"))).select(*names)
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else rows
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
