@@ -5,7 +5,8 @@ texts off: the stretches of byte n-grams that occur far more often in toxic text
 window of a text is compressed once against the ordinary dictionary and once against both
 together; the saving in bytes tells how much of it only the toxic side explains. Shares of windows
 beyond thresholds, the mean and the largest saving become a score by a logistic fit on labelled
-texts that the dictionaries have not seen.
+texts that the dictionaries have not seen. How clearly a gram has to mark, and the two thresholds,
+are cross-validated on those texts against the cut of the score.
 
 Dictionaries and fit take at most ``sample_rows`` labelled rows (by hash of the id, the documented
 bound); what is broadcast is two dictionaries of a few KB. Scoring covers whole texts, without a
@@ -19,6 +20,7 @@ score is 0; a null doc_id is kept; an empty table gives an empty result; other c
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +32,13 @@ from pyspark.sql import functions as F
 from .common import fold, labelled_sample, map_batches, table
 
 GRAM = 7
-#: Saved bytes beyond which a window counts as marked, and as strongly marked.
-MARKED, STRONG = 2, 3
+#: Score from which on a text counts as toxic.
+CUT = 0.7
+#: What is calibrated: evidence (log-likelihood ratio) that a gram marks; saved bytes from which on a window counts as marked, and as strongly marked.
+LEVELS = (12, 18, 24, 32)
+THRESHOLDS = tuple((a, b) for a in range(1, 5) for b in range(a + 1, 8))
+#: Toxic texts that have to hold a gram or a stretch, at any number of texts.
+LEAST = 3
 #: Shortest match in bytes that the compressors use: shorter ones are chance.
 MATCH = 6
 
@@ -58,60 +65,73 @@ def windows(raw: bytes, size: int) -> list[bytes]:
     return out or [b""]
 
 
-def _grams(raw: bytes) -> np.ndarray:
+def _placed(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams with their places and sizes, by place: GRAM bytes inside a word, and whole words of at most GRAM bytes, blanks around them included."""
     data = np.frombuffer(raw, np.uint8).astype(np.int64)
-    n = len(data) - GRAM + 1
-    out = np.zeros(max(0, n), np.int64)
-    for k in range(GRAM if n > 0 else 0):
-        out = out * 256 + data[k : n + k]
-    return out
-
-
-def _counted(texts: list[bytes], grams: np.ndarray | None = None, most: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grams (by default all) of the texts, sorted, in how many texts each occurs, and how often in all (at most ``most`` times a text)."""
+    blanks = np.append(0, np.cumsum(data == 32))
+    grams, places, sizes = [], [], []
+    for size in range(3, GRAM + 1):
+        at = np.arange(max(0, len(data) - size + 1))
+        whole = (data[at] == 32) & (data[at + size - 1] == 32)
+        at = at[whole | (blanks[at + size - 1] == blanks[at + 1])] if size == GRAM else at[whole]
+        gram = np.zeros(len(at), np.int64)
+        for k in range(size):
+            gram = gram * 256 + data[at + k]
+        grams.append(gram)
+        places.append(at)
+        sizes.append(np.full(len(at), size))
+    g, p, n = np.concatenate(grams), np.concatenate(places), np.concatenate(sizes)
+    order = np.lexsort((-n, p))
+    return g[order], p[order], n[order]
+
+
+def _counted(texts: list[bytes], grams: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Grams (by default all) of the texts, sorted, and in how many texts each occurs."""
     if grams is None:
-        found = [np.unique(_grams(t)) for t in texts]
+        found = [np.unique(_placed(t)[0]) for t in texts]
         grams = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    texts_with, times = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
+    texts_with = np.zeros(len(grams), np.int64)
     for t in texts if len(grams) else ():
-        own, n = np.unique(_grams(t), return_counts=True)
+        own = np.unique(_placed(t)[0])
         at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-        known = grams[at] == own
-        texts_with[at[known]] += 1
-        times[at[known]] += np.minimum(n[known], most)
-    return grams, texts_with, times
+        texts_with[at[grams[at] == own]] += 1
+    return grams, texts_with
 
 
-def marking_grams(toxic: list[bytes], ordinary: list[bytes], least_share: float = 0.02, times: float = 12) -> np.ndarray:
-    """Grams inside a word, or with a blank before or after it, that at least ``least_share`` of the toxic texts hold and that occur
-    ``times`` as often there, byte for byte, as in the ordinary texts. Sorted."""
-    grams, texts, n = _counted(toxic)
-    often = texts >= max(3, least_share * len(toxic))
-    grams, n = grams[often], n[often]
-    _, _, there = _counted(ordinary, grams)
-    grams = grams[n / sum(map(len, toxic)) >= times * (there + 0.5) / max(1, sum(map(len, ordinary)))]
-    inside = [b" " not in int(g).to_bytes(GRAM, "big")[1:-1] for g in grams]
-    return grams[np.array(inside, bool)]
+def gram_evidence(toxic: list[bytes], ordinary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams that LEAST different toxic texts hold, sorted, with the log-likelihood ratio of their toxic and ordinary texts (0 where they are
+    no more common in toxic ones). It weighs how pure a gram is against how often it was seen, so that a mark of a small group counts too."""
+    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
+    grams, here = _counted(toxic)
+    grams, here = grams[here >= LEAST], here[here >= LEAST]
+    _, there = _counted(ordinary, grams)
+    share = len(toxic) / max(1, len(toxic) + len(ordinary))
+    part = lambda seen, expected: seen * np.log(np.maximum(seen, 1) / expected)
+    both = here + there
+    found = 2 * (part(here, both * share) + part(there, np.maximum(both * (1 - share), 1e-9)))
+    return grams, np.where(here > both * share, found, 0.0)
 
 
 def marked_stretches(raw: bytes, grams: np.ndarray) -> list[bytes]:
     """The maximal stretches that overlapping marking grams cover."""
     out, start, end = [], 0, 0
-    for i in np.flatnonzero(np.isin(_grams(raw), grams)).tolist():
+    own, places, sizes = _placed(raw)
+    marks = np.isin(own, grams)
+    for i, n in zip(places[marks].tolist(), sizes[marks].tolist(), strict=True):
         if i >= end:
             out.append(raw[start:end])
             start = i
-        end = i + GRAM
+        end = max(end, i + n)
     return [x for x in (*out, raw[start:end]) if x]
 
 
-def common_stretches(texts: list[list[bytes]], least_share: float = 0.05) -> list[bytes]:
-    """The stretches, repeats included, that at least ``least_share`` of the toxic texts hold; all where none is that common."""
+def common_stretches(texts: list[list[bytes]]) -> list[bytes]:
+    """The stretches, repeats included, that LEAST toxic texts hold; all where none is that common."""
     texts_with: dict[bytes, int] = {}
     for t in texts:
         for w in set(t):
             texts_with[w] = texts_with.get(w, 0) + 1
-    often = [w for t in texts for w in t if texts_with[w] >= max(3, least_share * len(texts))]
+    often = [w for t in texts for w in t if texts_with[w] >= LEAST]
     return often or [w for t in texts for w in t]
 
 
@@ -124,12 +144,22 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def toxic_content(size: int, words: list[bytes], most: int = 16384) -> bytes:
+    """A dictionary trained on the stretches, after those that training left out (it prefers common ones), the commonest last; of these ``most`` bytes,
+    as far as windows reach back."""
+    trained = _trained(size, [b"".join(words[i : i + 8]) for i in range(0, len(words), 8)])
+    left = [w for w, _ in Counter(words).most_common() if w not in trained]
+    return b"".join(reversed(left))[-most:] + trained
+
+
 @dataclass
 class Model:
     ordinary: bytes
     toxic: bytes
     weights: list[float]
     size: int = 48
+    marked: int = 2
+    strong: int = 3
 
     def _compressors(self):
         p = zstandard.ZstdCompressionParameters(compression_level=3, min_match=MATCH, strategy=zstandard.STRATEGY_BTLAZY2, window_log=15, hash_log=14, chain_log=15, search_log=7, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -141,12 +171,19 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in vars(self).items() if k != "_both"}
 
-    def features(self, text: str | None) -> list[float]:
+    def saved(self, text: str | None) -> np.ndarray:
+        """Bytes that the toxic side saves in each window."""
         if "_both" not in vars(self):
             self._both = tuple(self._compressors())
         plain, both = self._both
-        saved = np.array([len(plain(w)) - len(both(w)) for w in (w + b" " for w in windows(words_only(text), self.size))])
-        return [float((saved >= MARKED).mean()), float((saved >= STRONG).mean()), float(saved.mean()), float(saved.max()) / 10, float(np.log1p((saved >= MARKED).sum())), float(np.log1p((saved >= STRONG).sum())), float(np.log1p(len(saved)))]
+        return np.array([len(plain(w)) - len(both(w)) for w in (w + b" " for w in windows(words_only(text), self.size))])
+
+    def features(self, text: str | None) -> list[float]:
+        return self.features_of(self.saved(text))
+
+    def features_of(self, saved: np.ndarray) -> list[float]:
+        marked, strong = saved >= self.marked, saved >= self.strong
+        return [float(marked.mean()), float(strong.mean()), float(saved.mean()), float(saved.max()) / 10, float(np.log1p(marked.sum())), float(np.log1p(strong.sum())), float(np.log1p(len(saved)))]
 
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.weights, [1.0, *_shaped(np.array([self.features(text)]))[0]])) if self.weights else -50.0
@@ -172,6 +209,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return w
 
 
+def _held_out(x: np.ndarray, y: np.ndarray, folds: int = 5) -> float:
+    """F1 at the cut, each row scored by a fit on the other folds, which have equal parts of both kinds."""
+    fold_of = np.zeros(len(y), int)
+    for kind in (0, 1):
+        fold_of[y == kind] = np.arange((y == kind).sum()) % folds
+    hit = np.zeros(len(y), bool)
+    for f in np.unique(fold_of):
+        w = logistic(x[fold_of != f], y[fold_of != f])
+        hit[fold_of == f] = w[0] + x[fold_of == f] @ w[1:] >= np.log(CUT / (1 - CUT))
+    return float(2 * (hit & (y == 1)).sum() / max(1, hit.sum() + y.sum()))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int = 8000, ordinary_bytes: int = 8192, toxic_bytes: int = 2048, size: int = 48) -> Model:
     """From at most ``sample_rows`` labelled rows: half of them for the dictionaries, half for the fit."""
     rows = [(zlib.crc32(str(r["doc_id"]).encode() + b"half"), r["doc_id"], r["text"], r["y"]) for r in labelled_sample(docs, labels, "toxic", sample_rows, keep).select("doc_id", "text", "y").collect()]
@@ -181,12 +230,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int
     plain = [words_only(t) for _, _, t, y in first if not y]
     if not toxic or not plain or len({y for *_, y in second}) < 2:
         return Model(b"", b"", [], size)
-    grams = marking_grams(toxic, plain)
-    words = common_stretches([marked_stretches(t, grams) for t in toxic])
-    model = Model(_trained(ordinary_bytes, [w for t in plain[:3000] for w in windows(t, size)]), _trained(toxic_bytes, [b"".join(words[i : i + 8]) for i in range(0, len(words), 8)]), [], size)
-    x = _shaped(np.array([model.features(t) for _, _, t, _ in second]))
-    model.weights = logistic(x, np.array([y for *_, y in second], float)).tolist()
-    return model
+    grams, evidence = gram_evidence(toxic, plain)
+    ordinary = _trained(ordinary_bytes, [w for t in plain[:3000] for w in windows(t, size)])
+    y = np.array([y for *_, y in second], float)
+    tried, best, best_f1 = set(), None, -1.0
+    for level in LEVELS:
+        words = common_stretches([marked_stretches(t, grams[evidence >= level]) for t in toxic])
+        content = toxic_content(toxic_bytes, words)
+        if content in tried:
+            continue
+        tried.add(content)
+        model = Model(ordinary, content, [], size)
+        saved = [model.saved(t) for _, _, t, _ in second]
+        for marked, strong in THRESHOLDS:
+            model.marked, model.strong = marked, strong
+            x = _shaped(np.array([model.features_of(s) for s in saved]))
+            f1 = _held_out(x, y)
+            if f1 > best_f1:
+                best, best_f1 = Model(ordinary, content, logistic(x, y).tolist(), size, marked, strong), f1
+    return best
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -202,4 +264,4 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
     scored = score_documents(docs, model)
-    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
