@@ -21,16 +21,29 @@ from .common import table
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 
+#: Characters of an IBAN by country.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_SIZED = "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_SIZES.items())
+_LISTED = "|".join(IBAN_SIZES.values()).replace(" ", "|")
+
 #: Java forms. \G: also where the last match ended, as a search goes on from there.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # Looks ahead only, so that a proposal that fails hides none that starts inside it. Countries outside the list take all that follows.
+    "iban": rf"(?<![A-Za-z0-9])(?=((?:{_SIZED}|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 
+#: Kinds whose matches are empty, with the proposal as group 1.
+AHEAD = ("iban",)
+
 #: A cheap test that a text can hold a match at all.
 _HINTS = {
     "email": lambda t: F.contains(t, F.lit("@")),
@@ -90,15 +103,27 @@ def _spans(kind: str) -> Column:
         F.length(g).cast("long").alias("gap"),
         F.length(m).cast("long").alias("size"),
         _VALID[kind](m).alias("valid"),
-        (F.lit(PRIOR[kind]) + F.when(F.right(g, F.lit(NEAR)).rlike(CONTEXT_WORDS[kind]), CONTEXT).otherwise(0.0)).alias("score"),
+        F.right(g, F.lit(NEAR)).alias("before"),
+        F.right(m, F.lit(NEAR)).alias("tail"),
     ))
+    used = (lambda p: F.lit(0).cast("long")) if kind in AHEAD else (lambda p: p["size"])
 
     def step(a: Column, p: Column) -> Column:
         start = a["at"] + p["gap"]
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + p["size"]).alias("end"), p["score"].alias("score"))
-        return F.struct((start + p["size"]).alias("at"), F.when(p["valid"], F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
-
-    walked = F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda a: a["spans"])
+        near = F.right(F.concat(a["near"], p["before"]), F.lit(NEAR))
+        score = F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT_WORDS[kind]), CONTEXT).otherwise(0.0)
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + p["size"]).alias("end"), score.alias("score"))
+        holds = p["valid"] & (start >= a["end"])
+        return F.struct(
+            (start + used(p)).alias("at"),
+            F.when(holds, start + p["size"]).otherwise(a["end"]).alias("end"),
+            (near if kind in AHEAD else F.right(F.concat(near, p["tail"]), F.lit(NEAR))).alias("near"),
+            F.when(holds, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"),
+        )
+
+    # a text that is searched for empty matches has one more character in front
+    first = F.struct(F.lit(-1 if kind in AHEAD else 0).cast("long").alias("at"), F.lit(0).cast("long").alias("end"), F.lit("").alias("near"), none.alias("spans"))
+    walked = F.aggregate(pieces, first, step, lambda a: a["spans"])
     return F.when(F.size(found) > 0, walked).otherwise(none)
 
 
@@ -107,8 +132,10 @@ def find_pii(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     out = docs.select(*(F.col(c).alias(f"kept_{c}") for c in keep), F.coalesce("text", F.lit("")).alias("body"))
     body = F.col("body")
     empty = F.array().cast("array<string>")
-    out = out.select("*", *(F.when(_HINTS[k](body), F.regexp_extract_all(body, F.lit(p), F.lit(0))).otherwise(empty).alias(f"found_{k}") for k, p in PATTERNS.items()))
-    out = out.select("*", *(F.when(F.size(f"found_{k}") > 0, F.split(body, p, -1)).otherwise(empty).alias(f"gaps_{k}") for k, p in PATTERNS.items()))
+    out = out.select("*", *(F.when(_HINTS[k](body), F.regexp_extract_all(body, F.lit(p), F.lit(int(k in AHEAD)))).otherwise(empty).alias(f"found_{k}") for k, p in PATTERNS.items()))
+    # Java's split has no piece before an empty match at the very start: a character in front keeps pieces and matches in step
+    searched = lambda k: F.concat(F.lit("\n"), body) if k in AHEAD else body
+    out = out.select("*", *(F.when(F.size(f"found_{k}") > 0, F.split(searched(k), p, -1)).otherwise(empty).alias(f"gaps_{k}") for k, p in PATTERNS.items()))
     spans = {k: _spans(k) for k in KINDS}
     for k in KINDS[len(BASE_KINDS) :]:
         spans[k] = F.filter(spans[k], lambda s: s["score"] >= LEAST)

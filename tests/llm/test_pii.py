@@ -47,3 +47,14 @@ def test_redaction_keeps_columns(odd, docs):
     assert out.columns == docs([]).columns
     assert [(r["doc_id"], r["text"], r["n_chars"]) for r in out.orderBy("doc_id").collect()] == [(1, "\U0001f600 write [EMAIL] or [PHONE]!", 27), (2, None, None), (3, "clean", 5)]
     assert as_rows(pii.redact_pii(odd)) == as_rows(odd)
+
+
+def test_ibans_end_where_they_do(docs):
+    texts = ["IBAN DE89370400440532013000 BIC COBADEFFXXX", "GB82WEST12345698765432 We pay", "DE89 3704 0044 0532 0130 00 EUR 500", "\U0001f600 NO93 8601 1117 947 I think", "NO12 3456789 GB82 WEST 1234 5698 7654 32", "DE89370400440532013000x DE89370400440532013000 GB82WEST12345698765432"]
+    rows = {r["doc_id"]: r["all"] for r in found(docs(list(enumerate(texts)))).collect()}
+    assert rows == {0: "iban:5:27", 1: "iban:0:22", 2: "iban:0:27", 3: "iban:2:20", 4: "iban:13:40", 5: "iban:24:46,iban:47:69"}
+
+
+def test_context_of_the_whole_text(docs):
+    rows = {r["doc_id"]: r["all"] for r in found(docs([(1, "ssn 123-45-6789, 123-45-6780"), (2, "ssn 000-45-6789 or 123-45-6780"), (3, "ssn 123-45-6789" + " " * 40 + "123-45-6780")])).collect()}
+    assert rows == {1: "ssn:4:15,ssn:17:28", 2: "ssn:19:30", 3: "ssn:4:15"}
