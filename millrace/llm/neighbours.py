@@ -121,7 +121,7 @@ def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
         seen: dict[tuple, list[int]] = defaultdict(list)
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             seen[tuple(v)].append(i)
-        return pa.RecordBatch.from_arrays([pa.array([list(v) for v in seen], pa.list_(pa.float64())), pa.array([sorted(x)[:ids] for x in seen.values()], pa.list_(pa.int64()))], names=["v", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array([list(v) for v in seen], pa.list_(pa.float64())), pa.array([sorted(set(x))[:ids] for x in seen.values()], pa.list_(pa.int64()))], names=["v", "ids"])
 
     some = map_batches(rows, combine, "v array<double>, ids array<long>")
     return some.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, ids).alias("ids"))
@@ -181,10 +181,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
             for question in questions:
                 off = x - np.array(question["q"])
                 d = np.sqrt((off * off).sum(axis=1))
-                near = np.arange(len(d))
-                if len(d) > k + 1:
-                    near = np.flatnonzero(d <= np.partition(d, k)[k])  # ties stay
-                best = sorted((d[i], v) for i in near for v in held[i]["ids"] if v != question["query_id"])[:k]
+                entries, nearest_of = k + 1, {}
+                while True:  # until k different ids are found or no entry is left
+                    near = np.arange(len(d))
+                    if len(d) > entries:
+                        near = np.flatnonzero(d <= np.partition(d, entries - 1)[entries - 1])  # ties stay
+                    for i in near[np.argsort(d[near], kind="stable")]:
+                        for v in held[i]["ids"]:
+                            if v != question["query_id"]:
+                                nearest_of.setdefault(v, d[i])
+                    if len(nearest_of) >= k or len(near) == len(d):
+                        break
+                    entries *= 4
+                best = sorted((s, v) for v, s in nearest_of.items())[:k]
                 out += [(question["query_id"], v, float(s)) for s, v in best]
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])

@@ -58,3 +58,10 @@ def test_walk_rises():
     cells = index.walk(q, 36)
     sums = [float(((q[:4] - index.books[0][c // 6]) ** 2).sum() + ((q[4:] - index.books[1][c % 6]) ** 2).sum()) for c in cells]
     assert sorted(cells) == list(range(36)) and all(a <= b + 1e-9 for a, b in zip(sums, sums[1:], strict=False))
+
+
+def test_repeated_rows_beside_equal_vectors(spark):
+    rows = [(5, [1.0, 2.0])] * 40 + [(i, [1.0, 2.0]) for i in (6, 7, 8, 100)] + [(5, [1.0, 2.0 + j / 1000]) for j in range(1, 30)] + [(20 + i, [2.0, float(i)]) for i in range(8)]
+    df = frame(spark, rows).coalesce(1)
+    got = N.nearest(df, df.where("vec_id = 100")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [5, 6, 7, 8, 22, 21, 23, 20, 24, 25] and [r["score"] for r in got[:4]] == [0.0] * 4
