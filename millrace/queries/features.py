@@ -84,7 +84,7 @@ TASK = M.Task(target="c_acctbal", numeric=("c_nationkey",), categorical=("c_mkts
 def _trained(t):
     parts = split(t("customer"), "c_custkey")
     train, test = (parts.where(F.col("part") == p).drop("part") for p in ("train", "test"))
-    return M.fit_all(TASK, train, M.candidates(TASK, trees=20, boost_rounds=10)), test
+    return M.fit_all(TASK, train, M.candidates(TASK)), test
 
 
 @query()

@@ -141,3 +141,15 @@ def test_discovery_and_loading(spark, tmp_path):
     sinks.replace(spark.range(3), str(tmp_path / "t"))
     sinks.append(spark.range(2), str(tmp_path / "t"))
     assert sinks.load_or_empty(spark, str(tmp_path / "t"), "id long").count() == 5
+
+
+def test_registered_candidates_have_the_full_sizes(spark, monkeypatch):
+    from millrace.queries import features as Q
+
+    seen = {}
+    monkeypatch.setattr(Q, "split", lambda df, key: df)
+    monkeypatch.setattr(Q.M, "fit_all", lambda task, train, models: seen.update(models))
+    frames = type("Frames", (), {"where": lambda self, _: self, "drop": lambda self, _: self})()
+    monkeypatch.setattr(Q, "F", type("Functions", (), {"col": staticmethod(lambda name: name)}))
+    Q._trained(lambda name: frames)
+    assert seen["forest"].getNumTrees() == 120 and seen["boosted"].getMaxIter() == 150
