@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import fixed
+
 SEED = 42
 
 
@@ -20,13 +22,14 @@ def sample_rows(df: DataFrame, n: int, column: str, seed: int = SEED) -> DataFra
 def stratified(df: DataFrame, strata: list[str], target: int, column: str, seed: int = SEED) -> DataFrame:
     """About ``target`` rows: each stratum gives at most ceil(target / strata) of its rows, in shuffled order; rows with a null
     stratum are left out. A table of at most ``target`` rows is returned as it is."""
-    known = df.where(" AND ".join(f"`{s}` IS NOT NULL" for s in strata))
-    facts = df.agg(F.count("*").alias("_n"), F.countDistinct(F.when(F.expr(" AND ".join(f"`{s}` IS NOT NULL" for s in strata)), F.struct(*strata))).alias("_g")).first()
-    if facts["_n"] <= target or not facts["_g"]:
+    sizes = df.groupBy(*strata).agg(F.count("*").alias("_rows"))  # one pass over the strata's columns
+    known = " AND ".join(f"`{s}` IS NOT NULL" for s in strata)
+    facts = sizes.agg(F.sum("_rows").alias("_n"), F.count_if(F.expr(known)).alias("_g")).first()
+    if (facts["_n"] or 0) <= target or not facts["_g"]:
         return df
     cap = -(-target // facts["_g"])
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy(shuffle_key(column, seed), column))
-    return sample_rows(known.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank"), target, column, seed)
+    return sample_rows(df.where(known).withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank"), target, column, seed)
 
 
 def split(df: DataFrame, column: str, share: float = 0.8, seed: int = SEED) -> DataFrame:
@@ -44,10 +47,12 @@ def recent(df: DataFrame, session: str, order: list[str], n: int) -> DataFrame:
 
 
 def surrogate_key(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """Adds 1, 2, 3 ... in the order given, without moving all rows to one task: rows are sorted by range, parts are counted, and
-    each row adds what lies in the parts before its own."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
+    """Adds 1, 2, 3 ... in the order given (nulls first), without moving all rows to one task: rows are dealt by ranges of the order,
+    counted inside their range and fixed in the shared folder; each adds what lies in the ranges before its own. Ties follow a hash of
+    the row, so that a common key is dealt to several ranges; equal rows get adjoining ids."""
+    hashed = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    ranged = df.withColumn("_tie", F.xxhash64(*hashed)).repartitionByRange(*order, "_tie").withColumn("_part", F.spark_partition_id())
+    inside = fixed(ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order, "_tie"))))
+    sizes = inside.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
-    return inside.join(F.broadcast(before), "_part").withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")
+    return inside.join(F.broadcast(before), "_part").withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before", "_tie")

@@ -106,7 +106,7 @@ def alignment_check(t):
     return V.alignment(ids, ids)
 
 
-@query("SELECT doc_id, 499 + row_number() OVER (ORDER BY doc_id) + (SELECT 0) AS embedding_id FROM documents".replace("499 + row_number() OVER (ORDER BY doc_id) + (SELECT 0)", "(SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY doc_id)"))
+@query("SELECT doc_id, (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY doc_id) AS embedding_id FROM documents")
 def assign_embedding_ids(t):
     return V.assign_ids(t("embeddings").select(F.col("vec_id").alias("embedding_id")), t("documents").select("doc_id"), "doc_id").select("doc_id", "embedding_id")
 

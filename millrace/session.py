@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,3 +25,17 @@ def session(name: str = "millrace", master: str | None = None, **settings: str)
     for k, v in (SETTINGS | settings).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` written once to the shared checkpoint folder, so that each later use sees the same ones. A session on one machine
+    without such a folder gets one of its own; a cluster has to name it in spark.checkpoint.dir."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="millrace-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
