@@ -22,8 +22,13 @@ def nfkc(c: Column) -> Column:
     return F.pandas_udf(_normal, StringType())(c)
 
 
+#: Characters of Unicode's White_Space property.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends; looks at no more than the ends."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def rules(c: Column) -> Column:
@@ -40,33 +45,45 @@ def rules(c: Column) -> Column:
 
 
 def clean(df: DataFrame, column: str) -> DataFrame:
-    """The column cleaned. Spark has no NFKC, so that step is Python's, and only for texts beyond ASCII."""
-    ascii_only = F.col(column).isNull() | ~F.col(column).rlike(r"[^\x00-\x7F]")
-    plain = df.where(ascii_only).withColumn(column, rules(F.col(column)))
-    other = df.where(~ascii_only).withColumn(column, nfkc(F.col(column))).withColumn(column, rules(F.col(column)))
-    return plain.unionByName(other)
+    """The column cleaned, in one scan. Spark has no NFKC, so that step is Python's; texts of ASCII alone need none and aren't sent."""
+    c = F.col(column)
+    beyond = F.when(F.octet_length(c) != F.length(c), c)
+    return df.withColumn(column, rules(F.coalesce(nfkc(beyond), c)))
 
 
 def chunks(df: DataFrame, column: str, size: int = 1000, overlap: int = 150, least: int = 50, gap_free: bool = False) -> DataFrame:
     """A row for each chunk: the columns but ``column``, then pos, chunk. Starts are size - overlap apart, so all chunks of a text
     follow from its length; a chunk ends after the last separator (of the first kind found) in its later half.
-    ``gap_free`` lets a chunk begin where the one before was cut, if that is earlier."""
+    ``gap_free`` lets a chunk begin where the one before was cut, if that is earlier.
+
+    A text is cut once into segments from start to start, of which pieces are put together; no row holds more than its pieces."""
     step, half = size - overlap, size // 2
     keep = [c for c in df.columns if c != column]
-    body = df.select(*keep, strip(F.coalesce(F.col(column), F.lit(""))).alias("_t")).where("_t <> ''").withColumn("_n", F.length("_t"))
+    body = df.select(*keep, strip(F.coalesce(F.col(column), F.lit(""))).alias("_t")).where("_t <> ''")
+    body = body.select(*keep, F.length("_t").alias("_n"), F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("_s"))
     count = F.ceil(F.greatest(F.col("_n") - size, F.lit(0)) / step).cast("int")
-    rows = body.withColumn("pos", F.explode(F.sequence(F.lit(0), count)))
 
-    def cut(start: Column) -> Column:
-        hard = start + size
-        tail = F.reverse(F.substring(F.col("_t"), start + half + 1, F.lit(size - half)))
-        found = [F.nullif(F.instr(tail, s[::-1]), F.lit(0)) for s in SEPARATORS]
-        return F.when(hard >= F.col("_n"), F.col("_n")).otherwise(F.coalesce(*(hard - p + 1 for p in found), hard))
+    def piece(pos: Column) -> Column:
+        return F.substring(F.array_join(F.slice("_s", pos + 1, F.lit(-(-size // step))), ""), 1, size)
 
-    start = F.col("pos") * step
-    begin = F.when(F.col("pos") > 0, F.least(start, cut(start - step))).otherwise(start) if gap_free else start
-    out = rows.select(*keep, "pos", strip(F.substring(F.col("_t"), begin + 1, cut(start) - begin)).alias("chunk"))
-    return out.where(F.length("chunk") >= least)
+    def struct_of(pos: Column) -> Column:
+        before = [F.when(pos > 0, piece(pos - 1)).alias("before")] if gap_free else []
+        return F.struct(pos.alias("pos"), piece(pos).alias("piece"), *before)
+
+    rows = body.select(*keep, "_n", F.explode(F.transform(F.sequence(F.lit(0), count), struct_of)).alias("_p")).select(*keep, "_n", "_p.*")
+
+    def cut(text: Column, pos: Column) -> Column:
+        """Characters of a piece before its cut."""
+        tail = F.reverse(F.substring(text, half + 1, size - half))
+        found = [F.nullif(F.instr(tail, s[::-1]), F.lit(0)) for s in SEPARATORS]
+        return F.when(pos * step + size >= F.col("_n"), F.length(text)).otherwise(F.coalesce(*(size - p + 1 for p in found), F.lit(size)))
+
+    chunk = F.substring(F.col("piece"), F.lit(1), cut(F.col("piece"), F.col("pos")))
+    if gap_free:
+        end = cut(F.col("before"), F.col("pos") - 1)
+        lead = F.when(end < step, F.substring(F.col("before"), end + 1, step - end))
+        chunk = F.concat(F.coalesce(lead, F.lit("")), chunk)
+    return rows.select(*keep, "pos", strip(chunk).alias("chunk")).where(F.length("chunk") >= least)
 
 
 def section_hint(c: Column, most: int = 100) -> Column:
