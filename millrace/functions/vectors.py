@@ -49,10 +49,22 @@ def embed(df: DataFrame, column: str, model: Callable[[], Callable[[list[str]],
     return df.withColumn("embedding", run(F.col(column)))
 
 
+def embed_query(question: str, model: Callable[[], Callable[[list[str]], np.ndarray]] | None = None) -> list[float]:
+    """One question's vector, made as those of the chunks are; a blank question is an error."""
+    if not question or not question.strip():
+        raise ValueError("the question is empty")
+    own = model() if model else hashed_words
+    return [float(x) for x in own([question.strip()])[0]]
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int = 5, key: str = "vec_id") -> DataFrame:
-    """key, score: the ``k`` rows most like one query; ties by key. No shuffle of vectors."""
+    """key, score: the ``k`` rows most like one query; ties by key. No shuffle of vectors. A query of another dimension than the first
+    vector found is an error."""
     if k <= 0:
         return vectors.select(key, F.lit(0.0).alias("score")).where("false")
+    held = vectors.where("embedding is not null").select(F.size("embedding").alias("n")).first()
+    if held and held["n"] != len(query):
+        raise ValueError(f"the query has {len(query)} dimensions, the vectors have {held['n']}")
     q = F.array(*(F.lit(float(x)) for x in query))
     return vectors.where(F.size("embedding") == len(query)).select(key, cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
 

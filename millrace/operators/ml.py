@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import impute_constant, regression_metrics
@@ -40,6 +42,31 @@ class Task:
         return [*out, VectorAssembler(inputCols=["scaled", *slots], outputCol="features")]
 
 
+def effective_task(task: Task, df: DataFrame, enriched: tuple[str, ...]) -> Task:
+    """The task with those enriched columns as further numeric features that survived in ``df``."""
+    return replace(task, numeric=(*task.numeric, *(c for c in enriched if c in df.columns and c not in task.numeric)))
+
+
+def save_model(spark: SparkSession, model: PipelineModel, folder: str, metadata: dict) -> None:
+    """The fitted model and a JSON file that tells about it, both replaced."""
+    model.write().overwrite().save(f"{folder}/model")
+    spark.createDataFrame([(json.dumps(metadata, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/metadata")
+
+
+def load_model(spark: SparkSession, folder: str) -> tuple[PipelineModel, dict]:
+    """(model, metadata) of ``save_model``; without metadata an empty one, without a model an error."""
+    try:
+        rows = spark.read.text(f"{folder}/metadata").collect()
+    except AnalysisException:
+        rows = []
+    try:
+        return PipelineModel.load(f"{folder}/model"), json.loads(rows[0]["value"]) if rows else {}
+    except Exception as e:
+        if "Input path does not exist" in str(e) or "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(f"no saved model in {folder}") from e
+        raise
+
+
 def candidates(task: Task, trees: int = 120, boost_rounds: int = 150, strong_rounds: int = 0) -> dict:
     """Models by name. ``strong_rounds`` adds deeper boosted trees, in place of an external booster."""
     shared = {"featuresCol": "features", "labelCol": task.target}

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fixed
+
+#: A database without tables, in which guarded statements run.
+EMPTY = "millrace_guard"
+
 # Words that make a statement unsafe.
 FORBIDDEN = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "ATTACH", "DETACH", "PRAGMA", "VACUUM", "REPLACE")
 
@@ -20,7 +30,10 @@ YEAR = r"\b(?:19\d{2}|20\d{2})\b"
 SQL_TOTAL = r"(?i)\b(count|sum|avg|min|max)\s*\(|\bgroup\s+by\b"
 LIMIT = r"(?i)\blimit\s+(\d+)\b"
 STAR = r"(?i)\bselect\s+\*\s+from\b"
-TABLES = r"(?i)\b(?:from|join)\s+([A-Za-z_][A-Za-z0-9_]*)"
+_NAME = r'(?:[\w.]++|"[^"]*+"|`[^`]*+`|\[[^\]]*+\])++'
+_ITEM = rf"{_NAME}(?:\s++(?:as\s++)?{_NAME})?"
+#: After each FROM and JOIN, the names that commas part, with their aliases; they are looked at and not used up.
+TABLES = rf"(?i)\b(?:from|join)\b\s*+(?=({_ITEM}(?:\s*+,\s*+{_ITEM})*))"
 
 # Intents, the agent of those that have one, confidence levels, agents.
 INTENT_AGENT = {"data_query": "data_agent", "knowledge_query": "knowledge_agent", "prediction_query": "prediction_agent"}
@@ -34,11 +47,18 @@ def _reasons(*pairs: tuple[Column, str]) -> Column:
     return F.filter(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(why)) for test, why in pairs)), lambda x: x.isNotNull())
 
 
+def tables_of(sql: Column) -> Column:
+    """array<string>: names after FROM and JOIN, each of a list, lower case and without quotes; literals and comments are no place for names.
+    A name after a subquery's comma is left to ``run_read_only``."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(sql, F.lit("")), r"(?s)/\*.*?\*/|--[^\n]*", " "), r"'(?:[^']|'')*+'", "''")
+    items = F.flatten(F.transform(F.regexp_extract_all(bare, F.lit(TABLES), F.lit(1)), lambda x: F.split(x, ",")))
+    return F.transform(items, lambda x: F.lower(F.regexp_replace(F.regexp_extract(F.trim(x), rf"^({_NAME})", 1), r'[`"\[\]]', "")))
+
+
 def sql_reasons(sql: Column, tables: list[str]) -> Column:
     """array<string>: every reason against a statement; empty if it may run."""
     text = F.trim(F.coalesce(sql, F.lit("")))
-    named = F.transform(F.regexp_extract_all(text, F.lit(TABLES), F.lit(1)), F.lower)
-    unknown = F.array_except(named, F.array(*(F.lit(x) for x in tables)))
+    unknown = F.array_except(tables_of(text), F.array(*(F.lit(x) for x in tables)))
     return _reasons(
         (text == "", "empty"),
         (text.contains("```"), "fenced"),
@@ -51,17 +71,65 @@ def sql_reasons(sql: Column, tables: list[str]) -> Column:
     )
 
 
-def plan_tables(spark: SparkSession, sql: str) -> set[str]:
-    """Tables that Spark's own parser finds in a statement, wherever they stand."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    found, todo = set(), [plan]
-    while todo:
-        node = todo.pop()
-        if node.nodeName() == "UnresolvedRelation":
-            found.add(node.tableName().replace("`", "").lower())
-        for kids in (node.children(), node.innerChildren()):
-            todo += [kids.apply(i) for i in range(kids.size()) if hasattr(kids.apply(i), "nodeName")]
-    return found
+class Rejected(ValueError):
+    """A statement that may not run."""
+
+
+def run_read_only(spark: SparkSession, sql: str, tables: dict[str, str]) -> DataFrame:
+    """Runs a statement that passes ``sql_reasons``, in a session of its own that sees nothing but views of ``tables`` (name to Parquet path).
+    What the patterns overlook, Spark's analysis doesn't find there."""
+    why = spark.range(1).select(sql_reasons(F.lit(sql), list(tables)).alias("why")).first()["why"]
+    if why:
+        raise Rejected(", ".join(why))
+    own = spark.newSession()
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    own.sql(f"CREATE DATABASE IF NOT EXISTS {EMPTY}")
+    own.catalog.setCurrentDatabase(EMPTY)
+    for name, path in tables.items():
+        own.read.parquet(path).createOrReplaceTempView(name)
+    return own.sql(sql.strip().rstrip(";"))
+
+
+def regenerated(asked: DataFrame, generate: Callable[[list[str], list[str | None]], list[str | None]], check: Callable[[Column, Column], Column], attempts: int = 3) -> DataFrame:
+    """statement, attempt, reasons beside the columns of ``asked`` (with ``question``). ``generate`` makes statements from questions and what
+    was wrong before; ``check`` gives the reasons against a statement. Rows with reasons are tried again, at most ``attempts`` times."""
+
+    @F.pandas_udf("string")
+    def propose(questions: pd.Series, feedback: pd.Series) -> pd.Series:
+        return pd.Series(generate(questions.tolist(), [None if f is None or f != f else f for f in feedback]), index=questions.index, dtype=object)
+
+    todo, done = asked.withColumn("reasons", F.lit(None).cast("array<string>")), None
+    for attempt in range(1, attempts + 1):
+        feedback = F.concat(F.lit("The last statement was invalid: "), F.array_join("reasons", ", "), F.lit(". Give one correct SELECT."))
+        tried = todo.withColumn("statement", F.trim(propose(F.col("question"), feedback))).withColumn("attempt", F.lit(attempt))
+        tried = fixed(tried.withColumn("reasons", check(F.col("statement"), F.col("question"))))
+        ready = tried if attempt == attempts else tried.where(F.size("reasons") == 0)
+        done = ready if done is None else done.unionByName(ready)
+        todo = tried.where(F.size("reasons") > 0).drop("statement", "attempt")
+    return done
+
+
+def run_agents(requests: DataFrame, agents: dict[str, Callable[[str], str]]) -> DataFrame:
+    """request_id, seq, agent, status, payload, error, seconds: a row for each agent in the ``execution_order`` of each of ``requests``
+    (request_id, question, execution_order). An agent that is unknown or fails has a row with its error and harms no other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for request, question, order in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for seq, name in enumerate(order or (), 1):
+                    began, payload, error = time.perf_counter(), None, None
+                    if name not in agents:
+                        error = f"UnknownAgent: {name}"
+                    else:
+                        try:
+                            payload = agents[name](question)
+                        except Exception as e:  # noqa: BLE001 - any agent may fail, the error is its result
+                            error = f"{type(e).__name__}: {e}"
+                    out.append({"request_id": request, "seq": seq, "agent": name, "status": "ERROR" if error else "SUCCESS", "payload": payload, "error": error, "seconds": time.perf_counter() - began})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("request_id", pa.int64()), ("seq", pa.int32()), ("agent", pa.string()), ("status", pa.string()), ("payload", pa.string()), ("error", pa.string()), ("seconds", pa.float64())]))
+
+    return requests.select(F.col("request_id").cast("long").alias("request_id"), "question", "execution_order").mapInArrow(run, "request_id long, seq int, agent string, status string, payload string, error string, seconds double")
 
 
 def intent_reasons(sql: Column, question: Column, places: list[str], units: str, large: list[str]) -> Column:
@@ -73,7 +141,7 @@ def intent_reasons(sql: Column, question: Column, places: list[str], units: str,
     named = F.lit(False)
     for p in places:
         named = named | F.lower(ask).rlike(rf"(?<![a-z]){p}(?![a-z])")
-    big = F.arrays_overlap(F.transform(F.regexp_extract_all(text, F.lit(TABLES), F.lit(1)), F.lower), F.array(*(F.lit(x) for x in large)))
+    big = F.arrays_overlap(tables_of(text), F.array(*(F.lit(x) for x in large)))
     unit = rf"(?i)\b{units}\b"
     return _reasons(
         (text.rlike(STAR), "star"),

@@ -7,46 +7,58 @@ from ..plans import guards as G
 from ..plans import memory as M
 from .registry import query
 
+# Statements, questions and decisions are made from each document's row: its id picks the shape, its columns fill it.
 _RULES = [
-    ("SELECT a FROM customer", 1, ""),
-    ("select a from customer; drop table x", 2, "several statements,forbidden DROP"),
-    ("WITH x AS (SELECT 1) SELECT * FROM x", 3, "not a select,unknown table"),
-    ("", 4, "empty,not a select,no from"),
-    ("```sql SELECT a FROM orders```", 5, "fenced,not a select"),
-    ("SELECT a FROM secret JOIN orders", 6, "unknown table"),
+    ("SELECT {} FROM customer", ""),
+    ("select {} from customer; drop table x", "several statements,forbidden DROP"),
+    ("WITH x AS (SELECT 1) SELECT {} FROM x", "not a select,unknown table"),
+    ("", "empty,not a select,no from"),
+    ("```sql SELECT {} FROM orders```", "fenced,not a select"),
+    ("SELECT {} FROM secret JOIN orders", "unknown table"),
+    ("SELECT {} FROM orders o, secret s", "unknown table"),
+    ('SELECT {} FROM "secret"', "unknown table"),
+    ("SELECT {} FROM orders AS o, `customer` JOIN events ON true WHERE a = ' FROM nowhere' -- from there", ""),
+    ("SELECT {} FROM orders JOIN main.secret USING (a)", "unknown table"),
 ]
 _ASKS = [
-    (1, "SELECT * FROM events", "everything in 2024", "star,year,too broad"),
-    (2, "SELECT value FROM events WHERE district = 'x' ORDER BY ts LIMIT 1", "latest level in France", ""),
-    (3, "SELECT value FROM events WHERE y = 2024", "level in Germany in 2024", "place"),
-    (4, "SELECT name FROM t ORDER BY v LIMIT 3", "top 5 stations", "top n"),
-    (5, "SELECT value FROM events WHERE a = 1", "current value", "latest"),
-    (6, "SELECT avg(value) FROM events", "average now", ""),
+    ("SELECT * FROM events", "everything in {}", "star,year,too broad"),
+    ("SELECT value FROM events WHERE district = 'x' ORDER BY ts LIMIT 1", "latest level in France", ""),
+    ("SELECT value FROM events WHERE y = {}", "level in Germany in {}", "place"),
+    ("SELECT name FROM t ORDER BY v LIMIT 3", "top 5 stations", "top n"),
+    ("SELECT value FROM events WHERE a = {}", "current value", "latest"),
+    ("SELECT avg(value) FROM events", "average now", ""),
 ]
 _DECISIONS = [
-    (1, "data_query", "HIGH", False, None, "r", ["data_agent"], ["data_agent"], ""),
-    (2, "data_query", "LOW", False, None, "r", ["data_agent"], ["data_agent"], "confidence and clarification"),
-    (3, "mixed_query", "HIGH", False, None, "r", ["data_agent"], ["data_agent"], "mixed"),
-    (4, "general_chat", "HIGH", False, None, "r", [], [], ""),
-    (5, "data_query", "LOW", True, "which?", " ", [], [], "reason"),
-    (6, "prediction_query", "HIGH", False, None, "r", ["data_agent", "knowledge_agent"], ["data_agent"], "order,agent of the intent"),
+    ("data_query", "HIGH", False, None, "r", ["data_agent"], ["data_agent"], ""),
+    ("data_query", "LOW", False, None, "r", ["data_agent"], ["data_agent"], "confidence and clarification"),
+    ("mixed_query", "HIGH", False, None, "r", ["data_agent"], ["data_agent"], "mixed"),
+    ("general_chat", "HIGH", False, None, "r", [], [], ""),
+    ("data_query", "LOW", True, "which?", " ", [], [], "reason"),
+    ("prediction_query", "HIGH", False, None, "r", ["data_agent", "knowledge_agent"], ["data_agent"], "order,agent of the intent"),
 ]
 
 
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+def _expected(found: list[str], name: str = "reasons") -> str:
+    """SQL: for each document the entry that its id picks."""
+    return f"SELECT doc_id, [{', '.join(f"'{x}'" for x in found)}][CAST(doc_id % {len(found)} AS INT) + 1] AS {name} FROM documents"
 
 
-@query(f"SELECT CAST(id AS BIGINT) AS id, reasons FROM (VALUES {_values([(i, r) for _, i, r in _RULES])}) v(id, reasons)")
+def _picked(values: list, kind: str) -> F.Column:
+    """The entry that a document's id picks."""
+    return F.element_at(F.array(*(F.array(*(F.lit(y) for y in x)).cast(kind) if isinstance(x, list) else F.lit(x).cast(kind) for x in values)), (F.col("doc_id") % len(values)).cast("int") + 1)
+
+
+@query(_expected([r for _, r in _RULES]))
 def validate_sql_rules(t):
-    rows = t.spark.createDataFrame([(i, s) for s, i, _ in _RULES], "id long, statement string")
-    return rows.select("id", F.array_join(G.sql_reasons(F.col("statement"), ["customer", "orders", "events"]), ",").alias("reasons"))
+    statement = F.replace(_picked([s for s, _ in _RULES], "string"), F.lit("{}"), F.col("lang"))
+    return t("documents").select("doc_id", F.array_join(G.sql_reasons(statement, ["customer", "orders", "events"]), ",").alias("reasons"))
 
 
-@query(f"SELECT CAST(id AS BIGINT) AS id, reasons FROM (VALUES {_values([(i, r) for i, _, _, r in _ASKS])}) v(id, reasons)")
+@query(_expected([r for *_, r in _ASKS]))
 def intent_rules(t):
-    rows = t.spark.createDataFrame([(i, s, q) for i, s, q, _ in _ASKS], "id long, statement string, question string")
-    return rows.select("id", F.array_join(G.intent_reasons(F.col("statement"), F.col("question"), ["france", "germany"], "unit", ["events"]), ",").alias("reasons"))
+    year = (1950 + F.col("doc_id") % 100).cast("string")
+    statement, ask = (F.replace(_picked([x[i] for x in _ASKS], "string"), F.lit("{}"), year) for i in (0, 1))
+    return t("documents").select("doc_id", F.array_join(G.intent_reasons(statement, ask, ["france", "germany"], "unit", ["events"]), ",").alias("reasons"))
 
 
 @query("SELECT conv_id, turn, NOT (regexp_matches(text, '(?i)\\b(station|river|well)\\b') OR regexp_matches(text, '(?i)\\b(top|bottom|highest|lowest|largest|smallest|most|least|maximum|minimum|max|min|rank|ranking)\\b') OR regexp_matches(text, '(?i)\\b(average|avg|mean|total|sum|count|how\\s+many|number\\s+of|maximum|minimum|max|min)\\b') OR regexp_matches(text, '(?i)\\b(all|every|entire|complete\\s+dataset|list\\s+all|export)\\b')) AS ask_back FROM conversations")
@@ -54,16 +66,50 @@ def needs_clarification(t):
     return t("conversations").select("conv_id", "turn", G.needs_clarification(F.col("text"), [], r"(?i)\b(station|river|well)\b").alias("ask_back"))
 
 
-@query(f"SELECT CAST(id AS BIGINT) AS id, reasons FROM (VALUES {_values([(r[0], r[-1]) for r in _DECISIONS])}) v(id, reasons)")
+_FIELDS = (("intent", "string"), ("confidence", "string"), ("requires_clarification", "boolean"), ("clarification_question", "string"), ("reason", "string"), ("agents", "array<string>"), ("execution_order", "array<string>"))
+
+
+def _decisions(t):
+    return t("documents").select("doc_id", *(_picked([d[i] for d in _DECISIONS], kind).alias(name) for i, (name, kind) in enumerate(_FIELDS)))
+
+
+@query(_expected([d[-1] for d in _DECISIONS]))
 def validate_decision(t):
-    rows = t.spark.createDataFrame([r[:-1] for r in _DECISIONS], "id long, intent string, confidence string, requires_clarification boolean, clarification_question string, reason string, agents array<string>, execution_order array<string>")
-    return rows.select("id", F.array_join(G.decision_reasons(), ",").alias("reasons"))
+    return _decisions(t).select("doc_id", F.array_join(G.decision_reasons(), ",").alias("reasons"))
 
 
-@query(f"SELECT CAST(id AS BIGINT) AS id, ok FROM (VALUES {', '.join(f'({r[0]}, {str(sorted(r[6]) == sorted(r[7])).lower()})' for r in _DECISIONS)}) v(id, ok)")
+@query(f"SELECT doc_id, doc_id % {len(_DECISIONS)} <> {next(i for i, d in enumerate(_DECISIONS) if sorted(d[5]) != sorted(d[6]))} AS ok FROM documents")
 def validate_execution_order(t):
-    rows = t.spark.createDataFrame([(r[0], r[6], r[7]) for r in _DECISIONS], "id long, agents array<string>, execution_order array<string>")
-    return rows.select("id", ((F.array_sort("agents") == F.array_sort("execution_order")) & (F.size(F.array_distinct("agents")) == F.size("agents"))).alias("ok"))
+    return _decisions(t).select("doc_id", ((F.array_sort("agents") == F.array_sort("execution_order")) & (F.size(F.array_distinct("agents")) == F.size("agents"))).alias("ok"))
+
+
+def _propose(questions, feedback):
+    """Stands for a model: its first answer to every other question isn't a SELECT, and to every third names a wrong table for ever."""
+    out = []
+    for q, f in zip(questions, feedback, strict=True):
+        n = int(q.split()[-1])
+        out.append("SELECT a FROM secret" if n % 3 == 0 else "DROP TABLE nation" if n % 2 and not f else "SELECT n_name FROM nation")
+    return out
+
+
+@query("SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 3 WHEN n_nationkey % 2 = 1 THEN 2 ELSE 1 END AS INT) AS attempt, CASE WHEN n_nationkey % 3 = 0 THEN 'SELECT a FROM secret' ELSE 'SELECT n_name FROM nation' END AS statement, CASE WHEN n_nationkey % 3 = 0 THEN 'unknown table' ELSE '' END AS reasons FROM nation")
+def regenerate_sql(t):
+    asked = t("nation").select("n_nationkey", F.format_string("name of nation %d", F.col("n_nationkey")).alias("question"))
+    out = G.regenerated(asked, _propose, lambda statement, question: G.sql_reasons(statement, ["nation"]))
+    return out.select("n_nationkey", "attempt", "statement", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("SELECT c_custkey, CAST(unnest(range(1, 4)) AS INT) AS seq, unnest(['data_agent', 'knowledge_agent', 'nobody']) AS agent, unnest(['SUCCESS', CASE WHEN c_acctbal < 0 THEN 'ERROR' ELSE 'SUCCESS' END, 'ERROR']) AS status, unnest([NULL, CASE WHEN c_acctbal < 0 THEN 'ValueError: in debt' END, 'UnknownAgent: nobody']) AS error FROM customer")
+def agent_isolation(t):
+    def careful(question: str) -> str:
+        if question.startswith("-"):
+            raise ValueError("in debt")
+        return question
+
+    order = F.array(F.lit("data_agent"), F.lit("knowledge_agent"), F.lit("nobody"))
+    requests = t("customer").select(F.col("c_custkey").alias("request_id"), F.col("c_acctbal").cast("string").alias("question"), order.alias("execution_order"))
+    out = G.run_agents(requests, {"data_agent": str, "knowledge_agent": careful})
+    return out.select(F.col("request_id").alias("c_custkey"), "seq", "agent", "status", "error")
 
 
 @query("SELECT user_id, CASE WHEN count(*) = 0 THEN 'NO_AGENTS' WHEN count(*) FILTER (value > 100) = 0 THEN 'SUCCESS' WHEN count(*) FILTER (value > 100) < count(*) THEN 'PARTIAL_SUCCESS' ELSE 'FAILED' END AS status FROM events GROUP BY user_id")

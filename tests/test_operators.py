@@ -40,6 +40,17 @@ def test_chunks_are_those_of_a_loop(spark, texts):
     assert got == {i: c for i, t in enumerate(texts) if (c := literal_chunks(t))}
 
 
+def test_chunks_without_gaps(spark):
+    text = "x" * 520 + ". " + "y" * 900 + " " + " ".join(map(str, range(1000, 1400)))
+    rows = X.chunks(spark.createDataFrame([(text,)], "text string"), "text", gap_free=True).orderBy("pos").collect()
+    at = 0
+    for r in rows:
+        place = text.index(r["chunk"])
+        assert not text[at:place].strip()
+        at = max(at, place + len(r["chunk"]))
+    assert at == len(text)
+
+
 def test_clean(spark):
     raw = "ﬁne wa-\nter\x07  and\t\tmore \r\n\r\n\r\n\r\nend  "
     assert X.clean(spark.createDataFrame([(raw,), (None,)], "t string"), "t").orderBy("t").collect()[1]["t"] == "fine water and more\n\nend"
@@ -77,6 +88,26 @@ def test_surrogate_keys_follow_the_order(spark):
     assert sorted((r["v"], r["id"]) for r in out.collect()) == [(i, i + 1) for i in range(500)]
 
 
+def test_surrogate_keys_lose_no_row(spark):
+    """Many parts, coalesced by adaptive execution as far as it can: all ids from 1 to n, in order, nulls first, ties and equal rows too."""
+    n = 40_000
+    rows = spark.range(n).select(F.when(F.col("id") % 7 > 0, F.col("id") % 1000).alias("v"), F.repeat(F.lit("x"), 50).alias("pad"), F.lit(1).alias("_size"))
+    own = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    old = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        out = sampling.surrogate_key(rows, ["v"])
+        assert out.columns == ["v", "pad", "_size", "id"]
+        got = out.select("v", "id").orderBy("id").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [r["id"] for r in got] == list(range(1, n + 1))
+    assert [r["v"] for r in got] == sorted((r["v"] for r in got), key=lambda v: (v is not None, v or 0))
+    assert sampling.surrogate_key(rows.limit(0), ["v"]).count() == 0
+
+
 def test_timeseries_master(spark):
     a = spark.createDataFrame([("1", " S ", "01-02-2020 00:00", "3.5"), ("2", " S ", "01-02-2020 00:00", "3.5")], "SlNo string, Station string, Time string, `Level Hourly (m)` string")
     b = spark.createDataFrame([("S",)], "Station string")
@@ -98,12 +129,27 @@ def test_nearest_of_many(spark):
     df = spark.createDataFrame([(i, [float(i == k) for k in range(3)]) for i in range(3)], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in V.top_k(df, [0.0, 1.0, 0.0], 2).collect()] == [1, 0]
     assert V.top_k(df, [0.0, 1.0, 0.0], 0).count() == 0
+    with pytest.raises(ValueError):
+        V.top_k(df, [1.0, 0.0])
+    with pytest.raises(ValueError):
+        V.embed_query(" \n")
+    assert V.embed_query(" a b ") == pytest.approx(V.hashed_words(["a b"])[0].tolist())
     batch = V.top_k_batch(df, df.withColumnRenamed("vec_id", "query_id"), 1)
     assert {r["query_id"]: r["vec_id"] for r in batch.collect()} == {0: 0, 1: 1, 2: 2}
 
 
-def test_tables_of_a_plan(spark):
-    assert guards.plan_tables(spark, "SELECT a FROM x, (SELECT b FROM `y`) z WHERE c IN (SELECT d FROM w)") >= {"x", "y"}
+def test_guarded_statements(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    spark.range(3).write.parquet(str(tmp_path / "good"))
+    tables = {"good": str(tmp_path / "good")}
+    spark.range(2).createOrReplaceTempView("secret")
+    assert guards.run_read_only(spark, "SELECT count(*) AS n FROM good;", tables).first()["n"] == 3
+    for bad in ("DROP TABLE good", "SELECT id FROM good, secret", "SELECT id FROM `secret`", "SELECT id FROM good JOIN default.secret USING (id)"):
+        with pytest.raises(guards.Rejected):
+            guards.run_read_only(spark, bad, tables)
+    with pytest.raises(AnalysisException):  # a name that the patterns overlook
+        guards.run_read_only(spark, "SELECT 1 FROM (SELECT 1 FROM good) x, secret", tables)
 
 
 def test_text_tables_of_two_encodings(spark, tmp_path):
@@ -153,3 +199,21 @@ def test_registered_candidates_have_the_full_sizes(spark, monkeypatch):
     monkeypatch.setattr(Q, "F", type("Functions", (), {"col": staticmethod(lambda name: name)}))
     Q._trained(lambda name: frames)
     assert seen["forest"].getNumTrees() == 120 and seen["boosted"].getMaxIter() == 150
+
+
+def test_models_are_kept(spark, tmp_path):
+    from millrace.operators import ml
+
+    rows = spark.range(40).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"), (F.col("id") % 3).cast("double").alias("extra"))
+    task = ml.effective_task(ml.Task("y", ("x",)), rows, ("extra", "lost"))
+    assert task.numeric == ("x", "extra")
+    model = ml.fit_all(task, rows, {"linear": ml.candidates(task)["linear"]}).models["linear"]
+    folder = str(tmp_path / "kept")
+    for n in (1, 2):
+        ml.save_model(spark, model, folder, {"rows": n, "features": list(task.numeric)})
+    again, metadata = ml.load_model(spark, folder)
+    assert metadata == {"rows": 2, "features": ["x", "extra"]}
+    values = lambda m: [r["prediction"] for r in m.transform(task.prepared(rows)).orderBy("x").collect()]
+    assert values(again) == pytest.approx(values(model))
+    with pytest.raises(FileNotFoundError):
+        ml.load_model(spark, str(tmp_path / "none"))
