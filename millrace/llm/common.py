@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes that Python's ``bytes.split()`` and the word pattern ``[^\x20\x09-\x0D]+`` treat as separators.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Database of the tables between steps; it lies in the shared folder.
+SCRATCH = "millrace_scratch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,20 +24,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one of our own only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a local one of our own, if all runs on this machine (tests);
+    a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
+#: Tables that ``written`` makes inside the innermost block that lists them.
+_LISTED: ContextVar[list[tuple[str, DataFrame]] | None] = ContextVar("listed", default=None)
+
+
+def written(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
+    """Writes ``df`` to a table in the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
+
+    ``bucket`` names a column by which rows are dealt to as many buckets as there are shuffle partitions, so that joins by it don't move them.
+    """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH} LOCATION '{scratch_root(spark)}/{SCRATCH}'")
+    full = f"{SCRATCH}.{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet")
+    if bucket:
+        writer = writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket)
+    writer.saveAsTable(full)
+    found = spark.table(full)
+    if (listed := _LISTED.get()) is not None:
+        listed.append((full, found))
+    return found
+
+
+def drop_tables(spark: SparkSession, tables: list[tuple[str, DataFrame]]) -> None:
+    """Drops tables of ``written`` with their files."""
+    while tables:
+        spark.sql(f"DROP TABLE IF EXISTS {tables.pop()[0]}")
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside the block are dropped at its end, but for those handed to the function that it gives; these pass to the
+    block around it. What a block returns may read only such tables."""
+    own: list[tuple[str, DataFrame]] = []
+    kept: list[tuple[str, DataFrame]] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.extend(x for x in own if x[1] is df)
+        return df
+
+    try:
+        with collected(own):
+            yield keep
+    finally:
+        if (around := _LISTED.get()) is not None:
+            around.extend(kept)
+        names = {name for name, _ in kept}
+        drop_tables(spark, [x for x in own if x[0] not in names])
+
+
+@contextmanager
+def collected(into: list[tuple[str, DataFrame]]) -> Iterator[None]:
+    """Tables written inside the block and not dropped there are listed in ``into``, for ``drop_tables`` later."""
+    token = _LISTED.set(into)
+    try:
+        yield
+    finally:
+        _LISTED.reset(token)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import temporary, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,11 +27,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of each node with an edge (a, b: long), except roots; the root is the component's smallest node."""
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _state(edges)
-    for _ in range(most_rounds):
-        edges = written(_small_star(_large_star(edges)), "edges")
-        before, state = state, _state(edges)
-        if state == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    with temporary(edges.sparkSession) as keep:
+        edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        state = _state(edges)
+        for _ in range(most_rounds):
+            edges = written(_small_star(_large_star(edges)), "edges")
+            before, state = state, _state(edges)
+            if state == before:
+                return keep(edges).select(F.col("a").alias("node"), F.col("b").alias("root"))
     raise RuntimeError("components did not settle")

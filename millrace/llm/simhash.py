@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, written
+from .common import map_batches, table, temporary, written
 from .components import connected
 
 FAN = 8
@@ -199,12 +199,13 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Ite
 
 def groups_of(prints: DataFrame, most: int = 4) -> DataFrame:
     """(fp, component_id) of the different fingerprints of a table with doc_id and fp: the smallest doc_id of each group."""
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
-    roots = connected(link_edges(distinct.select("fp"), most))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "rooted")
-    least = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "components")
-    return written(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
+    with temporary(prints.sparkSession) as keep:
+        distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
+        roots = connected(link_edges(distinct.select("fp"), most))
+        rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+        rooted = written(rooted, "rooted")
+        least = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "components")
+        return keep(written(rooted.join(least, "root").select("fp", "root", "component_id"), "named"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
@@ -217,18 +218,19 @@ def keep_one(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest doc_id (null last, then the smallest
     digest of the text); of rows equal in both, any one."""
     tk = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    signed = fingerprints(docs.select("doc_id", "text"), words, with_digest=True)
-    prints = written(signed, "fingerprints")
-    rows = prints.join(groups_of(prints, most), "fp").groupBy("root", "doc_id", "tk").agg(F.count("*").alias("times"))
-    rows = written(rows, "rows")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
-    first = written(rows.groupBy("root").agg(F.min(order).alias("first")), "first")
-    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tk") == F.col("first.tk"))
-    away = rows.join(first, "root").where(~kept | (F.col("times") > 1)).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), kept.alias("_kept"))
-    away = written(away, "away")
+    with temporary(docs.sparkSession) as keep:
+        signed = fingerprints(docs.select("doc_id", "text"), words, with_digest=True)
+        prints = written(signed, "fingerprints")
+        rows = prints.join(groups_of(prints, most), "fp").groupBy("root", "doc_id", "tk").agg(F.count("*").alias("times"))
+        rows = written(rows, "rows")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
+        first = written(rows.groupBy("root").agg(F.min(order).alias("first")), "first")
+        kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tk") == F.col("first.tk"))
+        away = rows.join(first, "root").where(~kept | (F.col("times") > 1)).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), kept.alias("_kept"))
+        away = keep(written(away, "away"))
     same = lambda t: docs["doc_id"].cast("long").eqNullSafe(t["_id"]) & (tk == t["_tk"])
     again = away.where("_kept")
-    once = docs.join(away, same(away), "left_anti")
+    once = docs.join(away.hint("merge"), same(away), "left_anti")  # grows with the documents, so texts move at every size alike
     repeated = docs.join(again, same(again), "left_semi").withColumn("_tk", tk).dropDuplicates(["doc_id", "_tk"]).drop("_tk")
     return once.unionByName(repeated)
 
