@@ -1,35 +1,40 @@
 """Removal of repeated strings with a column-wise multi-document suffix construction.
 
-Aim: remove every byte that a string of ``length`` bytes covers which also starts anywhere else.
+Aim: remove everything that a string of ``length`` symbols covers which also starts anywhere else.
+Symbols are the bytes of a text or its words; with ``across``, only strings count that also stand
+in another text.
 
 1. Texts are gathered by content; a text found twice repeats as a whole.
 2. Each text is cut into blocks (superblocks.py): equal strings have equal keys and stand at the
    same place relative to it. Only blocks whose key occurs twice can repeat; the counts of keys
    and of whole blocks come from aggregations with map-side combining.
 3. Different blocks of a key are the documents of a collection. Its columns (the symbol of each
-   block at one distance from the key) lie one after the other and are read once, from right to
-   left. Each round inserts one symbol per block: a stable sort by that symbol turns the order of
-   the suffixes from the column before into the order from this one (the Burrows-Wheeler step),
-   and the common prefixes follow as one plus range minima. A start repeats where a neighbour
-   shares ``length`` bytes. As blocks are aligned, suffixes of one column are all that have to be
+   block at one distance from the key) lie one after the other in a file and are read once, from
+   right to left. Each round inserts one symbol per block: a stable sort by that symbol turns the
+   order of the suffixes from the column before into the order from this one (the Burrows-Wheeler
+   step), and the common prefixes follow as one plus range minima; order and prefixes of a round
+   are written to a file that the next round reads. A start repeats where a neighbour shares
+   ``length`` symbols. As blocks are aligned, suffixes of one column are all that have to be
    compared, so a round reads and writes as many entries as there are blocks.
-4. A key with very many different blocks is dealt to several collections of ``group_rows``
+4. A key with very many different blocks is dealt to several collections of about ``group_rows``
    blocks; digests of their strings are then merged by ranges of the digest, so that strings equal
    across collections are found too. No group of unbounded size meets in one task.
 
-What stands between steps are tables in the shared folder, read sequentially. Inside a task, the
-columns are arrays of a few MB.
+Equal texts and equal blocks are told by their digests (128 bits, the key included) and don't pass
+the construction. What stands between steps are tables in the shared folder, read sequentially and
+dropped when the step after is written. The files of a collection are temporary ones of its task.
 
-Defined cases: null text counts as empty; texts shorter than ``length`` keep all bytes; matches
-never cross documents; copies of a long enough text lose all their bytes, repeated rows likewise;
-a null doc_id is kept; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text counts as empty; texts shorter than ``length`` keep all; matches never
+cross documents; copies of a long enough text lose all of it, repeated rows likewise; with words,
+what stands between two words of a removed string goes too; a null doc_id is kept; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,28 +43,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, sliced, table, written
-from .superblocks import GRAM, runs
+from .common import map_batches, sliced, table, temporary, written
+from .superblocks import GRAM, Symbols, as_bytes, as_words, runs
 
+Split = Callable[[bytes], Symbols]
+#: Words of a passage, and of the grams that find them.
+PASSAGE, PASSAGE_GRAM = 50, 16
 RUN = "tk binary, key long, bh long, start int, n int, back int"
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """tk (md5), text, copies: one row a text, in a table bucketed by tk, so that later joins by tk don't move texts."""
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", F.unhex(F.md5("text")))
-    texts = texts.groupBy("tk").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    name = f"distinct_texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts.write.bucketBy(buckets, "tk").saveAsTable(name)
-    return spark.table(name)
+    return written(texts.groupBy("tk").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "distinct_texts", bucket="tk")
 
 
-def count_keys(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def count_keys(texts: DataFrame, length: int, gram: int, split: Split = as_bytes) -> DataFrame:
     """Keys that occur twice or more over all texts."""
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [runs(np.frombuffer(t.encode(), np.uint8), length, gram)[0] for t in batch.column(0).to_pylist()]
+        found = [runs(split(t.encode()).values, length, gram)[0] for t in batch.column(0).to_pylist()]
         key, n = np.unique(np.concatenate(found), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], names=["key", "n"])
 
@@ -67,16 +70,16 @@ def count_keys(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return seen.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
 
 
-def text_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def text_runs(texts: DataFrame, length: int, gram: int, split: Split = as_bytes) -> DataFrame:
     """RUN rows of all texts; bh tells blocks of a key apart (with the place of the key in them)."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(6)]
         for tk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = text.encode()
-            key, start, n, place = runs(np.frombuffer(raw, np.uint8), length, gram)
+            values = split(text.encode()).values
+            key, start, n, place = runs(values, length, gram)
             back = place - start
-            hashes = [xxhash.xxh3_64_intdigest(raw[s : s + c + length - 1], seed=b) for s, c, b in zip(start.tolist(), n.tolist(), back.tolist(), strict=True)]
+            hashes = [xxhash.xxh3_64_intdigest(values[s : s + c + length - 1].tobytes(), seed=b) for s, c, b in zip(start.tolist(), n.tolist(), back.tolist(), strict=True)]
             for col, x in zip(cols, ([tk] * len(key), key, np.array(hashes, np.uint64).view(np.int64), start, n, back), strict=True):
                 col.extend(x) if isinstance(x, list) else col.append(x)
         arrays = [pa.array(cols[0], pa.binary()), *(pa.array(np.concatenate(c), t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True))]
@@ -85,27 +88,65 @@ def text_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return map_batches(texts.where(F.octet_length("text") >= length).select("tk", "text"), cut, RUN)
 
 
-def collection_repeats(blocks: list[bytes], back: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
-    """Flags [block, start]: the string at that start also stands in another block of the collection.
+class _Columns:
+    """The columns of aligned blocks in a file, the rightmost first."""
+
+    def __init__(self, blocks: list[np.ndarray], shift: np.ndarray, width: int):
+        rows = np.zeros((len(blocks), width), blocks[0].dtype)
+        for i, b in enumerate(blocks):
+            rows[i, shift[i] : shift[i] + len(b)] = b
+        self.file, self.dtype, self.rows = tempfile.TemporaryFile(), rows.dtype, len(blocks)
+        np.ascontiguousarray(rows.T[::-1]).tofile(self.file)
+        self.file.seek(0)
+
+    def next(self) -> np.ndarray:
+        return np.fromfile(self.file, self.dtype, self.rows)
+
+
+class _Suffixes:
+    """Order of the suffixes and their common prefixes, each round written after the one before was read."""
+
+    def __init__(self):
+        self.file, self.n = tempfile.TemporaryFile(), 0
+
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        self.file.seek(0)
+        return np.fromfile(self.file, np.int64, self.n), np.fromfile(self.file, np.int64, self.n)
+
+    def write(self, order: np.ndarray, lcp: np.ndarray) -> None:
+        self.n = len(order)
+        self.file.seek(0)
+        order.tofile(self.file)
+        lcp.tofile(self.file)
+
+
+def repeat_flags(order_near: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Which of sorted strings repeat: order_near tells that a string equals the one before; ``who`` names the text of each, 0 if there
+    are several. Of equal strings, all repeat if they are from two texts."""
+    first = np.flatnonzero(~order_near)
+    size = np.diff(np.append(first, len(order_near)))
+    apart = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
+    return np.repeat((size > 1) & (apart | np.logical_or.reduceat(who == 0, first)), size)
+
+
+def collection_repeats(blocks: list[np.ndarray], back: np.ndarray, counts: np.ndarray, length: int, who: np.ndarray | None = None) -> np.ndarray:
+    """Flags [block, start]: the string at that start also stands in another block of the collection (of another text, by ``who``).
 
-    blocks are aligned at their byte ``back``; block i owns its first counts[i] starts.
+    blocks (arrays of symbols) are aligned at their symbol ``back``; block i owns its first counts[i] starts.
     """
     m = len(blocks)
+    who = np.zeros(m, np.int64) if who is None else who
     sizes = np.fromiter(map(len, blocks), np.int64, m)
-    most_back = int(back.max())
-    shift = most_back - back  # column of a block's first byte
+    shift = int(back.max()) - back  # column of a block's first symbol
     ends = shift + sizes
     width = int(ends.max())
-    rows = np.zeros((m, width), np.uint8)
-    for i, b in enumerate(blocks):
-        rows[i, shift[i] : ends[i]] = np.frombuffer(b, np.uint8)
-    columns = np.ascontiguousarray(rows.T)
-    del rows
+    columns, state = _Columns(blocks, shift, width), _Suffixes()
     flags = np.zeros((m, int(counts.max())), bool)
     entering = np.argsort(-ends, kind="stable")
     entered = 0
-    order, lcp = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for x in range(width - 1, -1, -1):
+        column = columns.next()
+        order, lcp = state.read()
         first = entered
         while entered < m and ends[entering[entered]] > x:
             entered += 1
@@ -115,26 +156,24 @@ def collection_repeats(blocks: list[bytes], back: np.ndarray, counts: np.ndarray
             if entered - first < len(lcp):
                 lcp[entered - first] = 0
         alive = np.flatnonzero(shift[order] <= x)
-        if not len(alive):
-            continue
-        symbol = columns[x][order[alive]]
-        turn = np.argsort(symbol, kind="stable")
-        at, symbol = alive[turn], symbol[turn]
-        fresh = np.zeros(len(at), np.int64)
-        same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
-        if len(same):
-            pairs = np.empty(2 * len(same), np.int64)
-            pairs[0::2], pairs[1::2] = at[same - 1] + 1, at[same] + 1
-            fresh[same] = 1 + np.minimum.reduceat(np.append(lcp, 0), pairs)[0::2]
-        order, lcp = order[at], fresh
-        near = lcp >= length
-        hit = near.copy()
-        hit[:-1] |= near[1:]
-        if hit.any():
-            i = order[hit]
-            s = x - shift[i]
-            own = s < counts[i]
-            flags[i[own], s[own]] = True
+        if len(alive):
+            symbol = column[order[alive]]
+            turn = np.argsort(symbol, kind="stable")
+            at, symbol = alive[turn], symbol[turn]
+            fresh = np.zeros(len(at), np.int64)
+            same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
+            if len(same):
+                pairs = np.empty(2 * len(same), np.int64)
+                pairs[0::2], pairs[1::2] = at[same - 1] + 1, at[same] + 1
+                fresh[same] = 1 + np.minimum.reduceat(np.append(lcp, 0), pairs)[0::2]
+            order, lcp = order[at], fresh
+            near = lcp >= length
+            if near.any():
+                i = order[repeat_flags(near, who[order])]
+                s = x - shift[i]
+                own = s < counts[i]
+                flags[i[own], s[own]] = True
+        state.write(order, lcp)
     return flags
 
 
@@ -161,21 +200,21 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def find_repeats(blocks: DataFrame, length: int) -> DataFrame:
-    """hits: for blocks (key, bh, sub, subs, back, n, content), starts that repeat inside the collection; for keys of several
+def find_repeats(blocks: DataFrame, length: int, split: Split = as_bytes) -> DataFrame:
+    """hits: for blocks (key, bh, who, sub, subs, back, n, content), starts that repeat inside the collection; for keys of several
     collections also packed digests of all their strings, a row for each range of digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, 4 << 20):
-            key, bh, sub, subs, back, n = (part[c].to_numpy() for c in ("key", "bh", "sub", "subs", "back", "n"))
-            content = part["content"].to_pylist()
-            flags = collection_repeats(content, back.astype(np.int64), n.astype(np.int64), length)
+            key, bh, who, sub, subs, back, n = (part[c].to_numpy() for c in ("key", "bh", "who", "sub", "subs", "back", "n"))
+            content = [split(x).values for x in part["content"].to_pylist()]
+            flags = collection_repeats(content, back.astype(np.int64), n.astype(np.int64), length, who)
             out = [{"key": int(key[i]), "bh": int(bh[i]), "starts": np.flatnonzero(flags[i]).tolist(), "range": None, "digests": None} for i in np.flatnonzero(flags.any(axis=1))]
             packed: dict[tuple[int, int], list[bytes]] = {}
             for i in np.flatnonzero(subs > 1):
-                tail = int(bh[i]).to_bytes(8, "little", signed=True)
+                tail = int(bh[i]).to_bytes(8, "little", signed=True) + int(who[i]).to_bytes(8, "little", signed=True)
                 for s in range(n[i]):
-                    d = xxhash.xxh3_128_digest(content[i][s : s + length])
+                    d = xxhash.xxh3_128_digest(content[i][s : s + length].tobytes())
                     packed.setdefault((int(key[i]), int.from_bytes(d[:8], "big") % int(subs[i])), []).append(d + tail + s.to_bytes(4, "little"))
             out += [{"key": k, "bh": None, "starts": None, "range": r, "digests": b"".join(x)} for (k, r), x in packed.items()]
             if out:
@@ -185,20 +224,18 @@ def find_repeats(blocks: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, bh long, starts array<int>, range long, digests binary")
 
 
-_ENTRY = np.dtype([("digest", "V16"), ("bh", "<i8"), ("start", "<i4")])
+_ENTRY = np.dtype([("digest", "V16"), ("bh", "<i8"), ("who", "<i8"), ("start", "<i4")])
 
 
 def merge_digests(packed: DataFrame) -> DataFrame:
-    """(key, bh, starts) of strings whose digest stands twice or more among the collections of a key."""
+    """(key, bh, starts) of strings whose digest stands twice or more among the collections of a key (from two texts, by ``who``)."""
 
     def merge(group: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(group["digests"].to_pylist()), _ENTRY)
         halves = np.ascontiguousarray(x["digest"]).view(np.uint64).reshape(-1, 2)
         order = np.lexsort((halves[:, 1], halves[:, 0]))
-        same = (halves[order][1:] == halves[order][:-1]).all(axis=1)
-        twice = np.zeros(len(x), bool)
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
+        same = np.append(False, (halves[order][1:] == halves[order][:-1]).all(axis=1))
+        twice = order[repeat_flags(same, x["who"][order])]
         starts: dict[int, list[int]] = {}
         for b, s in zip(x["bh"][twice].tolist(), x["start"][twice].tolist(), strict=True):
             starts.setdefault(b, []).append(s)
@@ -208,42 +245,48 @@ def merge_digests(packed: DataFrame) -> DataFrame:
     return packed.groupBy("key", "range").applyInArrow(merge, "key long, bh long, starts array<int>")
 
 
-def repeated_starts(texts: DataFrame, length: int, gram: int, group_rows: int) -> DataFrame:
-    """tk and its repeated starts as (run's start, relative starts or null for all ``n`` of the run)."""
-    keys = written(count_keys(texts, length, gram), "keys")  # read back, so that a hot key's part of the join can be split
-    candidates = written(text_runs(texts, length, gram).join(keys, "key"), "candidates")
-    kinds = candidates.groupBy("key", "bh").agg(F.count("*").alias("times"), F.min(F.struct("tk", "start", "n", "back")).alias("at"))
-    kinds = written(kinds, "kinds")
-    per_key = written(kinds.groupBy("key").agg(F.count("*").alias("kinds")), "per_key")  # read back for the same reason
-    kinds = written(kinds.join(per_key, "key"), "kinds")
-
-    many = kinds.where("kinds > 1").withColumn("subs", F.ceil(F.col("kinds") / group_rows)).withColumn("sub", F.pmod("bh", "subs"))
-    wanted = many.select("key", "bh", "sub", "subs", "at.*").groupBy("tk").agg(F.collect_list(F.struct("key", "bh", "sub", "subs", "start", "n", "back")).alias("cuts"))
-
-    def contents(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = text.encode()
-            out += [c | {"content": raw[c["start"] : c["start"] + c["n"] + length - 1]} for c in cuts]
-        schema = pa.schema([("key", pa.int64()), ("bh", pa.int64()), ("sub", pa.int64()), ("subs", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("back", pa.int32()), ("content", pa.binary())])
-        return pa.RecordBatch.from_pylist(out, schema=schema)
-
-    blocks = map_batches(texts.join(wanted, "tk").select("text", "cuts"), contents, "key long, bh long, sub long, subs long, start int, n int, back int, content binary")
-    found = written(find_repeats(blocks, length), "repeats")
-    hits = found.where("digests is null").select("key", "bh", "starts").unionByName(merge_digests(found.where("digests is not null").select("key", "range", "digests")))
-    hits = hits.groupBy("key", "bh").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-    whole = kinds.where("times > 1").select("key", "bh", F.lit(None).cast("array<int>").alias("starts"))
-    once = kinds.where("times = 1").select("key", "bh").join(hits, ["key", "bh"])
-    return candidates.join(whole.unionByName(once), ["key", "bh"]).groupBy("tk").agg(F.collect_list(F.struct("start", "n", "starts")).alias("runs"))
-
-
-def spans_of(n_bytes: int, hits: list[dict] | None, copies: int, length: int) -> list[tuple[int, int]]:
-    """Maximal removed stretches of a text's bytes."""
-    if n_bytes < length:
+def repeated_starts(texts: DataFrame, length: int, gram: int, group_rows: int, split: Split = as_bytes, across: bool = False) -> DataFrame:
+    """tk and its repeated starts as (run's start, relative starts or null for all ``n`` of the run); bucketed by tk."""
+    with temporary(texts.sparkSession) as keep:
+        keys = written(count_keys(texts, length, gram, split), "keys")  # read back, so that a hot key's part of the join can be split
+        candidates = written(text_runs(texts, length, gram, split).join(keys, "key"), "candidates")
+        kinds = candidates.groupBy("key", "bh").agg(F.count("*").alias("times"), F.min(F.struct("tk", "start", "n", "back")).alias("at"), F.max("tk").alias("last_tk"))
+        apart = F.col("at.tk") != F.col("last_tk") if across else F.col("times") > 1
+        # a block's text, 0 for several texts or where it doesn't matter
+        kinds = written(kinds.select("key", "bh", "at", apart.alias("whole"), (F.when(apart, F.lit(0)).otherwise(F.xxhash64("at.tk")) if across else F.lit(0)).cast("long").alias("who")), "kinds")
+        per_key = written(kinds.groupBy("key").agg(F.count("*").alias("kinds")), "per_key")  # read back for the same reason
+        many = kinds.join(per_key.where("kinds > 1"), "key").withColumn("subs", F.ceil(F.col("kinds") / group_rows)).withColumn("sub", F.pmod("bh", "subs"))
+        wanted = many.select("key", "bh", "who", "sub", "subs", "at.*").groupBy("tk").agg(F.collect_list(F.struct("key", "bh", "who", "sub", "subs", "start", "n", "back")).alias("cuts"))
+
+        def contents(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = text.encode()
+                symbols = split(raw)
+                for c in cuts:
+                    a, b = symbols.bounds(c["start"], c["start"] + c["n"] + length - 1)
+                    out.append(c | {"content": raw[a:b]})
+            schema = pa.schema([*((c, pa.int64()) for c in ("key", "bh", "who", "sub", "subs")), *((c, pa.int32()) for c in ("start", "n", "back")), ("content", pa.binary())])
+            return pa.RecordBatch.from_pylist(out, schema=schema)
+
+        blocks = map_batches(texts.join(wanted, "tk").select("text", "cuts"), contents, "key long, bh long, who long, sub long, subs long, start int, n int, back int, content binary")
+        found = written(find_repeats(blocks, length, split), "repeats")
+        hits = found.where("digests is null").select("key", "bh", "starts").unionByName(merge_digests(found.where("digests is not null").select("key", "range", "digests")))
+        hits = hits.groupBy("key", "bh").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+        whole = kinds.where("whole").select("key", "bh", F.lit(None).cast("array<int>").alias("starts"))
+        part = kinds.where("not whole").select("key", "bh").join(hits, ["key", "bh"])
+        of_text = candidates.join(whole.unionByName(part), ["key", "bh"]).groupBy("tk").agg(F.collect_list(F.struct("start", "n", "starts")).alias("runs"))
+        return keep(written(of_text, "runs", bucket="tk"))
+
+
+def spans_of(symbols: Symbols, hits: list[dict] | None, copies: int, length: int) -> list[tuple[int, int]]:
+    """Maximal repeated stretches of a text's symbols."""
+    n = len(symbols.values)
+    if n < length:
         return []
     if copies > 1:
-        return [(0, n_bytes)]
-    edge = np.zeros(n_bytes + 1, np.int64)
+        return [(0, n)]
+    edge = np.zeros(n + 1, np.int64)
     for h in hits or ():
         s = h["start"] + (np.arange(h["n"]) if h["starts"] is None else np.asarray(h["starts"], np.int64))
         np.add.at(edge, s, 1)
@@ -253,25 +296,33 @@ def spans_of(n_bytes: int, hits: list[dict] | None, copies: int, length: int) ->
     return list(zip(np.flatnonzero(turns == 1).tolist(), np.flatnonzero(turns == -1).tolist(), strict=True))
 
 
-def repeat_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, group_rows: int = 256) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): the distinct texts (tk, text, copies) and tk, spans, n_bytes, kept_sha256 of each."""
-    gram = min(gram, max(1, length // 3))
+def byte_spans(raw: bytes, hits: list[dict] | None, copies: int, length: int, split: Split = as_bytes) -> list[tuple[int, int]]:
+    """The same as stretches of bytes; stretches that lie next to each other stay apart."""
+    symbols = split(raw)
+    return [symbols.bounds(a, b) for a, b in spans_of(symbols, hits, copies, length)]
+
+
+def repeat_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, group_rows: int = 128, passage: int = PASSAGE) -> tuple[DataFrame, DataFrame]:
+    """(texts, spans): the distinct texts (tk, text, copies) and tk, spans (of bytes), n_bytes, kept_sha256 and passages (spans of bytes that
+    ``passage`` words cover which another text or copy holds too) of each."""
     texts = distinct_texts(docs)
-    starts = repeated_starts(texts, length, gram, group_rows)
+    starts = repeated_starts(texts, length, min(gram, max(1, length // 3)), group_rows)
+    words = repeated_starts(texts, passage, min(PASSAGE_GRAM, max(1, passage // 3)), group_rows, as_words, across=True).withColumnRenamed("runs", "word_runs")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans, sizes, digests = [], [], []
-        for text, copies, hits in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        spans, sizes, digests, passages = [], [], [], []
+        for text, copies, hits, word_hits in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
             raw = text.encode()
-            cut = spans_of(len(raw), hits, copies, length)
+            cut = byte_spans(raw, hits, copies, length)
             spans.append([{"start": a, "end": b} for a, b in cut])
             sizes.append(len(raw))
             digests.append(hashlib.sha256(kept(raw, cut)).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span), pa.array(sizes, pa.int64()), pa.array(digests)], names=["tk", "spans", "n_bytes", "kept_sha256"])
+            passages.append([{"start": a, "end": b} for a, b in byte_spans(raw, word_hits, copies, passage, as_words)] if word_hits or copies > 1 else [])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(passages, span)], names=["tk", "spans", "n_bytes", "kept_sha256", "passages"])
 
-    joined = texts.join(starts, "tk", "left").select("tk", "text", "copies", "runs")
-    return texts, map_batches(joined, digest, "tk binary, spans array<struct<start:long,end:long>>, n_bytes long, kept_sha256 string")
+    joined = texts.join(starts, "tk", "left").join(words, "tk", "left").select("tk", "text", "copies", "runs", "word_runs")
+    return texts, map_batches(joined, digest, "tk binary, spans array<struct<start:long,end:long>>, n_bytes long, kept_sha256 string, passages array<struct<start:long,end:long>>")
 
 
 def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -282,17 +333,17 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, group_rows: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, group_rows: int = 128, split: Split = as_bytes, across: bool = False) -> DataFrame:
     """The rows of ``docs`` with repeated strings cut out of ``text`` (a character that a cut parts is dropped) and ``n_chars``
     brought up to date where that column is there. Each different text is cut once and then meets its rows, which come without theirs."""
     texts = distinct_texts(docs)
-    starts = repeated_starts(texts, length, min(gram, max(1, length // 3)), group_rows)
+    starts = repeated_starts(texts, length, min(gram, max(1, length // 3)), group_rows, split, across)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         left = []
         for text, copies, hits in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             raw = text.encode()
-            left.append(kept(raw, spans_of(len(raw), hits, copies, length)).decode(errors="ignore"))
+            left.append(kept(raw, byte_spans(raw, hits, copies, length, split)).decode(errors="ignore") if hits or copies > 1 else text)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], names=["_cut_tk", "_cut_text"])
 
     joined = texts.join(starts, "tk", "left").select("tk", "text", "copies", "runs")
@@ -303,9 +354,27 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, group_r
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else rows
 
 
+def remove_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """The rows of ``docs`` without passages of ``words`` words or more that another text holds too, whatever stands between their words;
+    all occurrences go."""
+    return remove_repeats(docs, words, PASSAGE_GRAM, split=as_words, across=True)
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, then n_passages and n_passage_bytes: passages of 50 words or more that another document holds too, and their bytes."""
     docs = table(spark, sf_dir, "documents")
-    _, spans = repeat_spans(docs)
-    sums = spans.select("tk", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    with temporary(spark) as keep:
+        _, spans = repeat_spans(docs)
+        covered = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+        sums = spans.select(
+            "tk",
+            "n_bytes",
+            covered("spans").alias("n_removed"),
+            F.size("spans").cast("long").alias("n_spans"),
+            "kept_sha256",
+            F.size("passages").cast("long").alias("n_passages"),
+            covered("passages").alias("n_passage_bytes"),
+        )
+        sums = keep(written(sums, "spans"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tk"))
-    return ids.join(sums, "tk").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return ids.join(sums, "tk").drop("tk")

@@ -1,13 +1,15 @@
 """Cuts a text into blocks such that equal strings of a given length meet in one group, aligned.
 
-Each start of a ``length``-byte string is owned by the smallest k-gram (by a mixed rolling hash)
-inside the string, the leftmost of equal ones. That choice depends on the string alone, so equal
-strings have the same k-gram at the same relative place. Consecutive starts with the same k-gram
-form a run; a run's block holds the bytes of all its strings.
+A text is a sequence of symbols: its bytes, or its words (each a 64-bit hash). Each start of a
+string of ``length`` symbols is owned by the smallest k-gram (by a mixed rolling hash) inside the
+string, the leftmost of equal ones. That choice depends on the string alone, so equal strings have
+the same k-gram at the same relative place. Consecutive starts with the same k-gram form a run; a
+run's block holds the symbols of all its strings.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -17,10 +19,43 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POSITION_BITS = 24
-#: Texts are handled in stretches of so many bytes, which overlap by a string, so that a place fits its bits.
+#: Texts are handled in stretches of so many symbols, which overlap by a string, so that a place fits its bits.
 STRETCH = 1 << 20
 
 
+@dataclass(frozen=True)
+class Symbols:
+    """A text as symbols; symbol i covers the bytes from starts[i] to ends[i] (with bytes as symbols: byte i)."""
+
+    values: np.ndarray
+    starts: np.ndarray | None = None
+    ends: np.ndarray | None = None
+
+    def bounds(self, first: int, last: int) -> tuple[int, int]:
+        """Bytes of the symbols from ``first`` to before ``last``."""
+        return (first, last) if self.starts is None else (int(self.starts[first]), int(self.ends[last - 1]))
+
+
+def as_bytes(raw: bytes) -> Symbols:
+    return Symbols(np.frombuffer(raw, np.uint8))
+
+
+def as_words(raw: bytes) -> Symbols:
+    """Words ``[^\\x20\\x09-\\x0D]+``, hashed as polynomials over their bytes."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = (data != 32) & ((data < 9) | (data > 13))
+    edge = np.diff(np.concatenate([[False], inside, [False]]).view(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return Symbols(np.zeros(0, np.uint64), starts, ends)
+    data, inside = data[starts[0] :], inside[starts[0] :]
+    at = starts - starts[0]
+    place = np.arange(len(data)) - np.repeat(at, np.diff(np.append(at, len(data))))
+    powers = _powers()[0]
+    terms = np.where(inside, (data.astype(np.uint64) + np.uint64(1)) * powers[place % len(powers)], np.uint64(0))
+    return Symbols(_mixed(np.add.reduceat(terms, at)), starts, ends)
+
+
 @lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base and of its inverse, as far as a stretch reaches."""
@@ -33,16 +68,17 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each k-gram: polynomial over bytes by prefix sums modulo 2^64, then mixed."""
+    """A 64-bit hash of each k-gram: polynomial over symbols by prefix sums modulo 2^64, then mixed."""
     n = len(data)
     powers, inverse = _powers()
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-    h = (sums[k:] - sums[:-k]) * inverse[: n - k + 1]
-    h ^= h >> np.uint64(32)
-    h *= _MIX
-    h ^= h >> np.uint64(29)
-    return h
+    return _mixed((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -56,7 +92,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, length: int, k: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first start, number of starts, place of the k-gram) of each run of a text's bytes."""
+    """(key, first start, number of starts, place of the k-gram) of each run of a text's symbols."""
     keys, starts, counts, places = [], [], [], []
     step = STRETCH
     for at in range(0, max(0, len(data) - length + 1), step):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -53,38 +54,69 @@ def test_odd_rows(odd, none):
 
 def test_collection_finds_what_stands_twice():
     rng = np.random.default_rng(4)
-    blocks = [bytes(rng.integers(97, 99, rng.integers(12, 20)).astype(np.uint8)) for _ in range(40)]
+    blocks = [rng.integers(97, 99, rng.integers(12, 20)).astype(np.uint8) for _ in range(40)]
     back, counts = rng.integers(0, 5, 40), np.array([len(b) - 6 + 1 for b in blocks])
     flags = S.collection_repeats(blocks, back, counts, 6)
-    at = Counter((s - back[i], b[s : s + 6]) for i, b in enumerate(blocks) for s in range(counts[i]))
+    at = Counter((s - back[i], b[s : s + 6].tobytes()) for i, b in enumerate(blocks) for s in range(counts[i]))
     for i, b in enumerate(blocks):
         for s in range(counts[i]):
-            assert flags[i, s] == (at[s - back[i], b[s : s + 6]] > 1)
-
-
-def test_runs_cover_all_starts_and_agree():
-    rng = np.random.default_rng(5)
-    a = rng.integers(97, 101, 3000).astype(np.uint8)
-    key, start, n, place = superblocks.runs(a, 50, 16)
-    assert n.sum() == len(a) - 49 and (start[1:] == start[:-1] + n[:-1]).all()
-    moved = superblocks.runs(a[700:], 50, 16)
-    own = {(k, p - 700 - s) for k, s0, c, p in zip(key, start, n, place, strict=True) for s in range(s0 - 700, s0 - 700 + c) if s >= 0}
-    assert own == {(k, p - s) for k, s0, c, p in zip(*moved, strict=True) for s in range(s0, s0 + c)}
-
-
-def test_stretches_meet(monkeypatch):
-    a = np.random.default_rng(6).integers(97, 123, 5000).astype(np.uint8)
-    whole = superblocks.runs(a, 60, 20)
-    monkeypatch.setattr(superblocks, "STRETCH", 1000)
-    superblocks._powers.cache_clear()
-    parts = superblocks.runs(a, 60, 20)
-    superblocks._powers.cache_clear()
-    spread = lambda r: [(k, p) for k, s, c, p in zip(*r, strict=True) for _ in range(c)]
-    assert spread(whole) == spread(parts)
-
-
-def test_rows_keep_their_columns(docs):
-    passage = "".join(chr(97 + i * i % 26) for i in range(300)) * 2
-    out = S.remove_repeats(docs([(1, "é" + passage + "x"), (2, "y" + passage), (3, "short"), (4, None)])).orderBy("doc_id")
-    assert out.columns == docs([]).columns
-    assert [(r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()] == [(1, "éx", 2), (2, "y", 1), (3, "short", 5), (4, None, None)]
+            assert flags[i, s] == (at[s - back[i], b[s : s + 6].tobytes()] > 1)
+    # of three texts, the third counts as several
+    who = rng.integers(0, 3, 40)
+    flags = S.collection_repeats(blocks, back, counts, 6, who)
+    owners = {}
+    for i, b in enumerate(blocks):
+        for s in range(counts[i]):
+            owners.setdefault((s - back[i], b[s : s + 6].tobytes()), []).append(who[i])
+    for i, b in enumerate(blocks):
+        for s in range(counts[i]):
+            own = owners[s - back[i], b[s : s + 6].tobytes()]
+            assert flags[i, s] == (len(own) > 1 and (0 in own or len(set(own)) > 1))
+
+
+def brute_passages(pairs, n):
+    """Words of each row that stand in n-word windows which another text or copy holds too."""
+    texts = [re.findall(r"[^ \t\n\x0b\x0c\r]+", t or "") for _, t in pairs]
+    raw = [t or "" for _, t in pairs]
+    found = {}
+    for i, w in enumerate(texts):
+        for k in range(len(w) - n + 1):
+            found.setdefault(tuple(w[k : k + n]), set()).add(raw[i])
+    out = []
+    for i, w in enumerate(texts):
+        hit = set()
+        for k in range(len(w) - n + 1):
+            if len(found[tuple(w[k : k + n])]) > 1 or raw.count(raw[i]) > 1:
+                hit.update(range(k, k + n))
+        out.append(hit)
+    return texts, out
+
+
+@pytest.mark.parametrize(("seed", "n", "group_rows"), [(1, 5, 128), (2, 5, 2), (3, 9, 3)])
+def test_passages_same_as_brute_force(docs, seed, n, group_rows):
+    rng = random.Random(seed)
+    words = lambda k: [rng.choice(("a", "b", "ö", "cd")) for _ in range(k)]
+    blank = lambda: rng.choice((" ", "  ", "\n", "\t \x0b"))
+    shared = [words(rng.randint(n - 1, 3 * n)) for _ in range(5)]
+    texts = ["".join(w + blank() for _ in range(rng.randint(0, 4)) for w in words(rng.randint(0, 9)) + rng.choice(shared)) for _ in range(50)]
+    pairs = list(enumerate(texts)) + [(60, None), (61, ""), (62, " ".join(["x", "y", "z"] * n)), (63, texts[3]), (63, texts[3]), (64, "  " + " ".join(shared[0] * 2))]
+    split, hits = brute_passages(pairs, n)
+    out = S.remove_repeats(docs([(k, t) for k, (_, t) in enumerate(pairs)]), n, max(1, n // 3), group_rows, S.as_words, across=True).collect()
+    left = {r["doc_id"]: r["text"] for r in out}
+    for k, (_, t) in enumerate(pairs):
+        want = None if t is None else [w for i, w in enumerate(split[k]) if i not in hits[k]]
+        assert (None if left[k] is None else left[k].split()) == want
+
+
+def test_query_counts_passages(spark, docs, tmp_path):
+    rng = random.Random(8)
+    words = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 4))) for _ in range(k))
+    passage, line = words(55), words(30)
+    pairs = [(1, words(30) + " " + passage + "\n" + words(9)), (2, passage.replace(" ", "\n")), (3, words(200)), (4, line + " " + words(20) + line), (5, None), (6, " ".join([line] * 9)), (None, words(3))]
+    docs(pairs).write.parquet(str(tmp_path / "documents.parquet"))
+    tables = lambda: {t.name for t in spark.catalog.listTables("millrace_scratch")}
+    before = tables() if spark.catalog.databaseExists("millrace_scratch") else set()
+    out = {r["doc_id"]: r for r in S.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert {i: (r["n_passages"], r["n_passage_bytes"]) for i, r in out.items()} == {1: (1, len(passage)), 2: (1, len(passage)), 3: (0, 0), 4: (0, 0), 5: (0, 0), 6: (0, 0), None: (0, 0)}
+    assert sorted((i, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in out.items() if i) == [r for r in brute(pairs, 400) if r[0]]
+    assert [t.split("_")[0] for t in tables() - before] == ["spans"]
