@@ -1,10 +1,13 @@
 """Licence scan with a positional rare-token index.
 
-Templates are word sequences. Their postings say at which place each word stands. For a file, the
-words of each template with the highest inverse document frequency (counted over all files) are
-looked up; a rare word at place p of the file and place o of a template proposes that the template
-starts at p - o. Proposals of several rare words are intersected by that relative position, the
-rest of the template is compared there, and its mandatory key phrase has to stand whole.
+Templates are word sequences: the phrases of the base rule, short notices, and passages of licence
+bodies, each with a mandatory key phrase. Postings say at which places of which key phrases a word
+stands. A file's licence words are looked up from the highest inverse document frequency (counted
+over all files) down. The first word of a template proposes starts, its place in the file less its
+place in the template; each further one keeps the proposals that it agrees with, until ``rare``
+places of the key phrase have been intersected. What is left has to hold the key phrase whole; then
+the rest of the template is compared there, word by word. A template of which the file lacks a word
+of the key phrase is not looked at, and no proposal is dropped otherwise, so no match is lost.
 
 Defined cases: a null or empty text has no words, no places and no labels and scores 0; places of
 different phrases and overlapping places all count; repeated rows give repeated rows; an empty
@@ -47,6 +50,67 @@ NOTICES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved", "all rights reserved"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "to deal in the software without restriction",
+    ),
+    (
+        "bsd-3-clause",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    (
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistributions of source code must retain the above copyright notice this list of conditions",
+    ),
+    (
+        "apache-2.0",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "http www apache org licenses license 2 0",
+    ),
+    (
+        "gpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "gnu general public license as published by the free software foundation either version 3",
+    ),
+    (
+        "gpl-2.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        "gnu general public license as published by the free software foundation either version 2",
+    ),
+    (
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        "gnu lesser general public license as published by the free software foundation",
+    ),
+    (
+        "agpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+        "gnu affero general public license as published by the free software foundation",
+    ),
+    (
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+        "if a copy of the mpl was not distributed with this file",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    ),
+    (
+        "bsl-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        "to any person or organization obtaining a copy of the software and accompanying documentation",
+    ),
 )
 
 #: Bytes that separate words: ASCII without letters and digits, after lower-casing.
@@ -76,43 +140,55 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> tuple[int,
 
 
 class Index:
-    """Postings of the templates' rarest words, weights of all their words. Small: it travels in the closure."""
+    """Positional postings of the key phrases' words and weights of all words of the templates. Small: it travels in the closure."""
 
     def __init__(self, n_files: int, df: dict[bytes, int], notices=NOTICES, phrases=BASE_PHRASES, rare: int = 2):
         idf = lambda w: math.log((n_files + 1) / (df.get(w, 0) + 1)) + 1
         self.templates = []
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for kind, rows in (("base", [(label, p, p) for p, label in phrases]), ("notice", notices)):
             for label, notice, key in rows:
                 words, must = notice.encode().split(), key.encode().split()
                 key_at = next(i for i in range(len(words)) if words[i : i + len(must)] == must)
-                self.templates.append((kind, label, words, [idf(w) for w in words], key_at, len(must)))
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, _, words, weights, key_at, n_key) in enumerate(self.templates):
-            #: only words of the key phrase anchor: a match holds it whole, so the rarest of them stand in every match
-            order = sorted(range(key_at, key_at + n_key), key=lambda i: (-weights[i], i))
-            for i in order[:rare]:
-                self.postings[words[i]].append((t, i))
+                for i, w in enumerate(must):
+                    self.postings[w].append((len(self.templates), key_at + i))
+                self.templates.append((kind, label, words, [idf(w) for w in words], key_at, must))
+        self.by_idf = sorted(self.postings, key=lambda w: (-idf(w), w))
+        self.needed = [frozenset(t[-1]) for t in self.templates]
+        self.rare = rare
+
+    def proposals(self, words: list[bytes]) -> dict[int, set[int]]:
+        """For each template whose key words the file has, the starts that ``rare`` places of its key phrase agree on."""
+        at: dict[bytes, list[int]] = {}
+        for p, w in enumerate(words):
+            if w in self.postings:
+                at.setdefault(w, []).append(p)
+        open_ = {t: self.rare for t, needed in enumerate(self.needed) if needed <= at.keys()}
+        starts: dict[int, set[int]] = {}
+        for w in self.by_idf if open_ else ():
+            if w not in at:
+                continue
+            for t, o in self.postings[w]:
+                if open_.get(t, 0):
+                    open_[t] -= 1
+                    own = {p - o for p in at[w]}
+                    starts[t] = starts[t] & own if t in starts else own
+        return starts
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[str, int]], dict[str, float]]:
         """Base places (label, start) and, for each label of the method, the largest weighted share of a notice that stands."""
-        votes: dict[tuple[int, int], int] = defaultdict(int)
-        for w in self.postings.keys() & set(words):
-            at = [p for p, x in enumerate(words) if x == w]
-            for t, o in self.postings[w]:
-                for p in at:
-                    votes[t, p - o] += 1
         base, labels = [], {}
-        for (t, start), _ in votes.items():
-            kind, label, template, weights, key_at, n_key = self.templates[t]
-            first = start + key_at
-            if first < 0 or words[first : first + n_key] != template[key_at : key_at + n_key]:
-                continue
-            if kind == "base":
-                base.append((label, start))
-                continue
-            same = sum(x for i, x in enumerate(weights) if 0 <= start + i < len(words) and words[start + i] == template[i])
-            share = same / sum(weights)
-            labels[label] = max(share, labels.get(label, 0.0))
+        for t, found in self.proposals(words).items():
+            kind, label, template, weights, key_at, must = self.templates[t]
+            for start in found:
+                first = start + key_at
+                if first < 0 or words[first : first + len(must)] != must:
+                    continue
+                if kind == "base":
+                    base.append((label, start))
+                    continue
+                same = sum(x for i, x in enumerate(weights) if 0 <= start + i < len(words) and words[start + i] == template[i])
+                labels[label] = max(same / sum(weights), labels.get(label, 0.0))
         return base, labels
 
 
