@@ -8,8 +8,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -123,14 +124,34 @@ def fold(column: str, modulus: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, keep: F.Column | None = None) -> DataFrame:
-    """(text, y): at most ``rows`` labelled documents, chosen by the hash of their id; the labels' side is bounded and so broadcast.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, keep: F.Column | None = None, most_bytes: int | None = None) -> DataFrame:
+    """(doc_id, text, y): at most ``rows`` labelled documents, chosen by the hash of their id; the labels' side is bounded and so broadcast.
+    With ``most_bytes``, as many of them in that order as have no more text.
 
-    Labels that repeat an id count as one (the larger); null labels and ids are left out.
+    Labels that repeat an id count as one (the larger), so do documents (the smallest digest); null labels and ids are left out.
     """
     y = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull())
     if keep is not None:
         y = y.where(keep)
     y = y.groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(y), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(y), "doc_id")
+    found = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+    if most_bytes is not None:
+        so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        found = found.withColumn("_bytes", F.sum(F.octet_length("text")).over(so_far)).where(F.col("_bytes") <= most_bytes).drop("_bytes")
+    return found
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Weights (the first of the constant) by Newton's rounds."""
+    a = np.hstack([np.ones((len(x), 1)), x])
+    w = np.zeros(a.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
+        grad = a.T @ (p - y) + ridge * w
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), grad)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

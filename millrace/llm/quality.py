@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold, labelled_sample, map_batches, table
-from .toxicity import logistic
+from .common import fold, labelled_sample, logistic, map_batches, table
 
 BITS = 17
 ORDERS = (1, 2, 3, 4)

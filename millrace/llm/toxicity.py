@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, map_batches, table
+from .common import fold, labelled_sample, logistic, map_batches, table
 
 GRAM = 7
 #: Score from which on a text counts as toxic.
@@ -195,35 +195,29 @@ def _shaped(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(x[:, :2], 0))])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights (the first of the constant) by Newton's rounds."""
-    a = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(a.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
-        grad = a.T @ (p - y) + ridge * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
-def _held_out(x: np.ndarray, y: np.ndarray, folds: int = 5) -> float:
-    """F1 at the cut, each row scored by a fit on the other folds, which have equal parts of both kinds."""
+def _held_out(x: np.ndarray, y: np.ndarray, folds: int = 5) -> tuple[float, float]:
+    """The best F1 over all cuts of the log-odds, and that cut; each row is scored by a fit on the other folds, which have equal parts of
+    both kinds."""
     fold_of = np.zeros(len(y), int)
     for kind in (0, 1):
         fold_of[y == kind] = np.arange((y == kind).sum()) % folds
-    hit = np.zeros(len(y), bool)
+    z = np.zeros(len(y))
     for f in np.unique(fold_of):
         w = logistic(x[fold_of != f], y[fold_of != f])
-        hit[fold_of == f] = w[0] + x[fold_of == f] @ w[1:] >= np.log(CUT / (1 - CUT))
-    return float(2 * (hit & (y == 1)).sum() / max(1, hit.sum() + y.sum()))
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int = 8000, ordinary_bytes: int = 8192, toxic_bytes: int = 2048, size: int = 48) -> Model:
-    """From at most ``sample_rows`` labelled rows: half of them for the dictionaries, half for the fit."""
-    rows = [(zlib.crc32(str(r["doc_id"]).encode() + b"half"), r["doc_id"], r["text"], r["y"]) for r in labelled_sample(docs, labels, "toxic", sample_rows, keep).select("doc_id", "text", "y").collect()]
+        z[fold_of == f] = w[0] + x[fold_of == f] @ w[1:]
+    order = np.argsort(-z, kind="stable")
+    z, hits = z[order], np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + hits[-1])
+    f1[:-1][z[:-1] == z[1:]] = 0  # equal scores fall on one side
+    best = int(f1.argmax())
+    return float(f1[best]), float((z[best] + z[min(best + 1, len(z) - 1)]) / 2)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int = 8000, sample_bytes: int = 64 << 20, ordinary_bytes: int = 8192, toxic_bytes: int = 2048, size: int = 48) -> Model:
+    """From at most ``sample_rows`` labelled rows with at most ``sample_bytes`` of text: half of them for the dictionaries, half for the fit
+    and its thresholds. The score is moved so that the cut which held-out folds like best lies at CUT."""
+    sample = labelled_sample(docs, labels, "toxic", sample_rows, keep, sample_bytes)
+    rows = [(zlib.crc32(str(r["doc_id"]).encode() + b"half"), r["doc_id"], r["text"], r["y"]) for r in sample.select("doc_id", "text", "y").collect()]
     rows.sort(key=lambda r: r[:3])
     first, second = [r for r in rows if r[0] % 2 == 0], [r for r in rows if r[0] % 2]
     toxic = [words_only(t) for _, _, t, y in first if y]
@@ -231,7 +225,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int
     if not toxic or not plain or len({y for *_, y in second}) < 2:
         return Model(b"", b"", [], size)
     grams, evidence = gram_evidence(toxic, plain)
-    ordinary = _trained(ordinary_bytes, [w for t in plain[:3000] for w in windows(t, size)])
+    ordinary = _trained(ordinary_bytes, [w for t in plain for w in windows(t, size)])
     y = np.array([y for *_, y in second], float)
     tried, best, best_f1 = set(), None, -1.0
     for level in LEVELS:
@@ -245,9 +239,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int
         for marked, strong in THRESHOLDS:
             model.marked, model.strong = marked, strong
             x = _shaped(np.array([model.features_of(s) for s in saved]))
-            f1 = _held_out(x, y)
+            f1, cut = _held_out(x, y)
             if f1 > best_f1:
-                best, best_f1 = Model(ordinary, content, logistic(x, y).tolist(), size, marked, strong), f1
+                weights = logistic(x, y)
+                weights[0] += np.log(CUT / (1 - CUT)) - cut
+                best, best_f1 = Model(ordinary, content, weights.tolist(), size, marked, strong), f1
     return best
 
 
