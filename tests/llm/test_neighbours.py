@@ -50,14 +50,48 @@ def test_many_equal_vectors(spark):
     assert [r["vec_id"] for r in got] == list(range(10)) and {r["score"] for r in got} == {0.0}
 
 
+def test_walks_are_shorter_than_the_index(spark):
+    """At three sizes, without structure and with it: recall of 0.9, and a share of the different vectors that falls with their number."""
+    rng = np.random.default_rng(3)
+    walked = []
+    for n in (1500, 6000, 24000):
+        x = np.float32(rng.normal(size=(n, 16)))
+        df = frame(spark, [(i, v) for i, v in enumerate(x.tolist())]).repartition(8)
+        rows = df.select(F.col("embedding").cast("array<double>").alias("v"))
+        walked.append(N.fit(rows, n, 20_000, 0.95)[1])
+        got = {}
+        for r in N.nearest(df, df.where("vec_id % 100 = 0")).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = 0
+        for q, found in got.items():
+            d = ((x - x[q]) ** 2).sum(axis=1)
+            d[q] = np.inf
+            hits += len(found & set(np.argsort(d, kind="stable")[:10].tolist()))
+        assert len(got) == n // 100 and hits >= 0.9 * 10 * len(got)
+    assert walked[0] < 0.6 and walked[0] > walked[1] > walked[2]
+    near = np.repeat(rng.normal(size=(60, 16)) * 6, 100, axis=0) + rng.normal(size=(6000, 16))
+    assert N.fit(spark.createDataFrame([(v,) for v in near.tolist()], "v array<double>"), 6000, 20_000, 0.95)[1] < 0.05
+
+
+def test_each_dimension_for_itself(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=(5, 2, 1)[i % 3]).tolist()) for i in range(900)]
+    df = frame(spark, rows)
+    got = {}
+    for r in N.nearest(df, df.where("vec_id % 100 = 0"), exact_rows=200 + 90).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = {q: len(set(x) & set(brute([r for r in rows if r[0] % 3 == q % 3], q))) for q, x in got.items()}
+    assert len(got) == 9 and all(len(x) == 10 and {v % 3 for v in x} == {q % 3} for q, x in got.items()) and sum(hits.values()) >= 81
+
+
 def test_walk_rises():
     rng = np.random.default_rng(2)
     index = N.MultiIndex(rng.normal(size=(300, 8)), 6)
     index.counts = {c: 1 for c in range(36)}
     q = rng.normal(size=8)
-    cells = index.walk(q, 36)
+    cells, reach = index.walk(q, 36)
     sums = [float(((q[:4] - index.books[0][c // 6]) ** 2).sum() + ((q[4:] - index.books[1][c % 6]) ** 2).sum()) for c in cells]
-    assert sorted(cells) == list(range(36)) and all(a <= b + 1e-9 for a, b in zip(sums, sums[1:], strict=False))
+    assert abs(reach - sums[-1]) < 1e-9 and sorted(cells) == list(range(36)) and all(a <= b + 1e-9 for a, b in zip(sums, sums[1:], strict=False))
 
 
 def test_repeated_rows_beside_equal_vectors(spark):
