@@ -100,10 +100,9 @@ def knowledge_envelope(t):
     return V.envelope(hits, "nearest to 0")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS vectors, CAST(count(*) AS BIGINT) AS chunks, true AS aligned FROM embeddings")
+@query("SELECT (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM documents) AS chunks, NOT EXISTS (SELECT 1 FROM (SELECT vec_id AS id, 1 AS v, 0 AS c FROM embeddings UNION ALL SELECT doc_id, 0, 1 FROM documents) GROUP BY id HAVING sum(v) <> 1 OR sum(c) <> 1) AS aligned")
 def alignment_check(t):
-    ids = t("embeddings").select(F.col("vec_id").alias("embedding_id"))
-    return V.alignment(ids, ids)
+    return V.alignment(t("embeddings").select(F.col("vec_id").alias("embedding_id")), t("documents").select(F.col("doc_id").alias("embedding_id")))
 
 
 @query("SELECT doc_id, (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY doc_id) AS embedding_id FROM documents")

@@ -3,7 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import features as E
 from ..operators import inspect as I
+from ..operators import ml as M
 from ..operators import relational as R
 from ..operators import sampling as S
 from ..operators import standardize as Z
@@ -57,10 +59,13 @@ def row_cap_guard(t):
     return R.cap_report(t("events"))
 
 
-@query("SELECT name, score FROM (VALUES ('linear', 164.29), ('forest', 126.40), ('boosted', 122.68)) v(name, score_) , LATERAL (SELECT CAST(score_ AS DOUBLE) AS score) ORDER BY score LIMIT 1")
+_GUESSES = {"mean_price": "l_quantity * 1500", "low_price": "l_quantity * 1000", "flat": "36000 + 0 * l_quantity"}
+
+
+@query("SELECT name, round(score, 4) AS score FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS name, sqrt(avg((l_extendedprice - {e}) * (l_extendedprice - {e}))) AS score FROM lineitem" for k, e in _GUESSES.items()) + ") ORDER BY score LIMIT 1")
 def select_best(t):
-    scores = t.spark.createDataFrame([("linear", 164.29), ("forest", 126.40), ("boosted", 122.68)], "name string, score double")
-    return scores.agg(F.min_by("name", "score").alias("name"), F.min("score").alias("score"))
+    results = [E.regression_metrics(t("lineitem").select("l_extendedprice", F.expr(e).alias("guess")), "l_extendedprice", "guess").select(F.lit(k).alias("name"), "*") for k, e in _GUESSES.items()]
+    return M.select_best(Z.union(results)).withColumn("score", F.round("score", 4))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(CAST(l_orderkey * 100 + l_linenumber AS VARCHAR) || ':42'), l_orderkey * 100 + l_linenumber) AS r FROM lineitem) WHERE r <= 500 ORDER BY md5(CAST(l_orderkey * 100 + l_linenumber AS VARCHAR) || ':42'), l_orderkey * 100 + l_linenumber LIMIT 1500")

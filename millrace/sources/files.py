@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -18,17 +19,24 @@ NA_TOKENS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "<NA>", "n/a
 
 def read_text_table(spark: SparkSession, path: str, na_tokens: tuple[str, ...] = ()) -> DataFrame:
     """All columns as text with source_file. Files that are valid UTF-8 are read so (a byte-order mark is dropped), others as Latin-1;
-    malformed lines are left out. Each group of files is one distributed scan."""
-    raw = spark.read.format("binaryFile").load(path).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
-    groups = {r["valid"]: r["paths"] for r in raw.groupBy("valid").agg(F.collect_list("path").alias("paths")).collect()}
+    malformed lines are left out. Lines are checked where they are read; each group of files is one distributed scan, and paths are
+    gathered only where a folder holds both kinds. A folder without files has no rows and no column but source_file."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("valid"))
+    of_file = lines.groupBy("path").agg(F.bool_and("valid").alias("valid"))
+    kinds = of_file.agg(F.count_if("valid").alias("utf8"), F.count_if(~F.col("valid")).alias("latin1")).first()
+    groups = [(name, path) for name in ("utf8", "latin1") if kinds[name]]
+    if len(groups) == 2:
+        plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+        paths = of_file.select("valid", plain.alias("path")).collect()
+        groups = [(name, sorted(r["path"] for r in paths if r["valid"] == (name == "utf8"))) for name, _ in groups]
     parts = []
-    for valid, paths in groups.items():
-        df = spark.read.csv(sorted(paths), header=True, inferSchema=False, mode="DROPMALFORMED", encoding="UTF-8" if valid else "ISO-8859-1", multiLine=True)
-        df = df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns if c.startswith("﻿")})
+    for name, where in groups:
+        df = spark.read.csv(where, header=True, inferSchema=False, mode="DROPMALFORMED", encoding="UTF-8" if name == "utf8" else "ISO-8859-1", multiLine=True)
+        df = df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns if c.startswith("\ufeff")})
         parts.append(df.withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    if not parts:
+        return spark.createDataFrame([], "source_file string")
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return blank_na(out, na_tokens) if na_tokens else out
 
 

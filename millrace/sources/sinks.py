@@ -9,18 +9,30 @@ from pyspark.sql.types import StructType
 from ..operators.sampling import surrogate_key
 
 
-def replace(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """One overwrite; ``by`` lays rows out by those columns, so that filters on them skip files."""
-    (df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(path)
+def _writer(df: DataFrame, kind: str):
+    return df.write.format(kind).options(**({"header": "true"} if kind == "csv" else {}))
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def replace(df: DataFrame, path: str, by: list[str] | None = None, kind: str = "parquet") -> None:
+    """One overwrite, as parquet, csv (with a header) or json; ``by`` lays rows out by those columns, so that filters on them skip files."""
+    _writer(df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df, kind).mode("overwrite").save(path)
 
 
-def load_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def append(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    _writer(df, kind).mode("append").save(path)
+
+
+def append_each(parts: list[DataFrame], path: str, kind: str = "parquet") -> None:
+    """Starts afresh, then adds one part after the other."""
+    for i, part in enumerate(parts):
+        (append if i else replace)(part, path, kind=kind)
+
+
+def load_or_empty(spark: SparkSession, path: str, schema: StructType | str, kind: str = "parquet") -> DataFrame:
+    """What was written, or no rows where nothing was."""
     try:
-        return spark.read.schema(schema).parquet(path) if isinstance(schema, StructType) else spark.read.parquet(path)
+        reader = spark.read.options(**({"header": "true"} if kind == "csv" else {})).format(kind)
+        return reader.load(path) if kind == "parquet" and isinstance(schema, str) else reader.schema(schema).load(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)

@@ -37,13 +37,25 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hou
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
 
 
-def running_turns(messages: DataFrame) -> DataFrame:
-    """conv_id, turns: how many user messages each session has had so far."""
+def running_turns(messages: DataFrame, time: str | None = None, idle_hours: int = 24 * 30) -> DataFrame:
+    """conv_id, turns: how many user messages each session has had so far. With a ``time`` column, a session without messages for
+    ``idle_hours`` of event time is forgotten; without one, sessions are kept for ever."""
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        n += sum(int((f["role"] == "user").sum()) for f in frames)
-        state.update((n,))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, last = state.get if state.exists else (0, 0)
+        for f in frames:
+            n += int((f["role"] == "user").sum())
+            if time:
+                last = max(last, int(f[time].max().timestamp() * 1000))
+        state.update((n, last))
+        if time:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_hours * 3_600_000)
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [n]})
 
-    return messages.groupBy("conv_id").applyInPandasWithState(count, "conv_id long, turns long", "turns long", "update", GroupStateTimeout.NoTimeout)
+    if time:
+        messages = messages.withWatermark(time, f"{idle_hours} hours")
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    return messages.groupBy("conv_id").applyInPandasWithState(count, "conv_id long, turns long", "turns long, last long", "update", timeout)

@@ -157,6 +157,13 @@ def test_text_tables_of_two_encodings(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes("k,v\n2,NA\n3,é\n".encode("latin-1"))
     rows = files.read_text_table(spark, str(tmp_path), files.NA_TOKENS).collect()
     assert {(r["k"], r["v"], r["source_file"]) for r in rows} == {("1", "é", "a.csv"), ("2", None, "b.csv"), ("3", "é", "b.csv")}
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "one file+x.csv").write_bytes(b"\xef\xbb\xbfk,v\n1,a\n")
+    (tmp_path / "odd" / "two.csv").write_bytes("k,w\n2,\xe9\n".encode("latin-1"))
+    rows = files.read_text_table(spark, str(tmp_path / "odd")).collect()
+    assert {(r["k"], r["v"], r["w"]) for r in rows} == {("1", "a", None), ("2", None, "é")}
+    (tmp_path / "empty").mkdir()
+    assert files.read_text_table(spark, str(tmp_path / "empty")).collect() == []
 
 
 def test_sheets(spark, tmp_path):

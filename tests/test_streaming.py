@@ -21,6 +21,18 @@ def test_running_turns(spark, tmp_path):
     assert {(r["conv_id"], r["turns"]) for r in spark.table("turns").collect()} == {(1, 2), (2, 1)}
 
 
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    source, point = str(tmp_path / "in"), str(tmp_path / "point")
+    turns = {}
+    for day, conv in ((1, 1), (20, 2), (21, 2), (22, 1)):
+        spark.createDataFrame([(conv, "user", f"2024-01-{day:02d} 00:00:00")], "conv_id long, role string, ts string").withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(source)
+        stream = ingest.running_turns(spark.readStream.schema("conv_id long, role string, ts timestamp").parquet(source), "ts", 24)
+        found = []
+        stream.writeStream.foreachBatch(lambda df, _, found=found: found.extend(df.collect())).option("checkpointLocation", point).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+        turns[day] = {r["conv_id"]: r["turns"] for r in found}
+    assert turns == {1: {1: 1}, 20: {2: 1}, 21: {2: 2}, 22: {1: 1}}
+
+
 def test_windows(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 3.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts")).write.parquet(source)
