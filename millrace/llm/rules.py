@@ -186,10 +186,11 @@ def decision_list(rules: list[list[Condition]]) -> Column:
 
 
 def labelled_statistics(stats: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """Features and y of at most ``rows`` labelled documents, chosen by the hash of their id."""
+    """Features and y of at most ``rows`` labelled documents, chosen by the hash of their id; of rows that share an id, the smallest features."""
     y = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return stats.join(F.broadcast(y), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", *(c.alias(k) for k, c in features().items()))
+    found = stats.join(F.broadcast(y), "doc_id").select("doc_id", "y", F.struct(*(c.alias(k) for k, c in features().items())).alias("found"))
+    return found.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("found").alias("found")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", "found.*")
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, sample_rows: int = 20_000, **how) -> list[list[Condition]]:
