@@ -1,8 +1,8 @@
 """Removal of repeated strings with a column-wise multi-document suffix construction.
 
 Aim: remove everything that a string of ``length`` symbols covers which also starts anywhere else.
-Symbols are the bytes of a text or its words; with ``across``, only strings count that also stand
-in another text.
+An alphabet says what the symbols are, the bytes of a text or its words, and how long a string; with
+``across``, only strings count that also stand in another text. Several alphabets share each pass.
 
 1. Texts are gathered by content; a text found twice repeats as a whole.
 2. Each text is cut into blocks (superblocks.py): equal strings have equal keys and stand at the
@@ -35,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,26 @@ from pyspark.sql import functions as F
 from .common import map_batches, sliced, table, temporary, written
 from .superblocks import GRAM, Symbols, as_bytes, as_words, runs
 
-Split = Callable[[bytes], Symbols]
-#: Words of a passage, and of the grams that find them.
-PASSAGE, PASSAGE_GRAM = 50, 16
-RUN = "tk binary, key long, bh long, start int, n int, back int"
+
+
+@dataclass(frozen=True)
+class Alphabet:
+    split: Callable[[bytes], Symbols]
+    length: int
+    gram: int
+    across: bool = False
+
+
+def byte_strings(length: int = 400, gram: int = GRAM) -> Alphabet:
+    return Alphabet(as_bytes, length, min(gram, max(1, length // 3)))
+
+
+def word_passages(length: int = 50, gram: int = 16) -> Alphabet:
+    """Passages of ``length`` words that another text holds too, whatever stands between the words."""
+    return Alphabet(as_words, length, min(gram, max(1, length // 3)), across=True)
+
+
+RUN = "tk binary, unit int, key long, bh long, start int, n int, back int"
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -58,34 +75,50 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return written(texts.groupBy("tk").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "distinct_texts", bucket="tk")
 
 
-def count_keys(texts: DataFrame, length: int, gram: int, split: Split = as_bytes) -> DataFrame:
-    """Keys that occur twice or more over all texts."""
+def _long_enough(texts: DataFrame, alphabets: list[Alphabet]) -> DataFrame:
+    return texts.where(F.octet_length("text") >= min(a.length for a in alphabets))
+
+
+def count_keys(texts: DataFrame, alphabets: list[Alphabet]) -> DataFrame:
+    """(unit, key): keys of an alphabet that occur twice or more over all texts."""
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [runs(split(t.encode()).values, length, gram)[0] for t in batch.column(0).to_pylist()]
-        key, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], names=["key", "n"])
+        raws = [t.encode() for t in batch.column(0).to_pylist()]
+        cols: list[list[np.ndarray]] = [[], [], []]
+        for unit, a in enumerate(alphabets):
+            key, n = np.unique(np.concatenate([runs(a.split(raw).values, a.length, a.gram)[0] for raw in raws]), return_counts=True)
+            for col, x in zip(cols, (np.full(len(key), unit, np.int32), key, n), strict=True):
+                col.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["unit", "key", "n"])
 
-    seen = map_batches(texts.where(F.octet_length("text") >= length).select("text"), keys, "key long, n long")
-    return seen.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    seen = map_batches(_long_enough(texts, alphabets).select("text"), keys, "unit int, key long, n long")
+    return seen.groupBy("unit", "key").agg(F.sum("n").alias("n")).where("n > 1").select("unit", "key")
 
 
-def text_runs(texts: DataFrame, length: int, gram: int, split: Split = as_bytes) -> DataFrame:
+def text_runs(texts: DataFrame, alphabets: list[Alphabet]) -> DataFrame:
     """RUN rows of all texts; bh tells blocks of a key apart (with the place of the key in them)."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(6)]
+        tks, cols = [], [[np.zeros(0, np.int64)] for _ in range(6)]
         for tk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            values = split(text.encode()).values
-            key, start, n, place = runs(values, length, gram)
-            back = place - start
-            hashes = [xxhash.xxh3_64_intdigest(values[s : s + c + length - 1].tobytes(), seed=b) for s, c, b in zip(start.tolist(), n.tolist(), back.tolist(), strict=True)]
-            for col, x in zip(cols, ([tk] * len(key), key, np.array(hashes, np.uint64).view(np.int64), start, n, back), strict=True):
-                col.extend(x) if isinstance(x, list) else col.append(x)
-        arrays = [pa.array(cols[0], pa.binary()), *(pa.array(np.concatenate(c), t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True))]
-        return pa.RecordBatch.from_arrays(arrays, names=["tk", "key", "bh", "start", "n", "back"])
-
-    return map_batches(texts.where(F.octet_length("text") >= length).select("tk", "text"), cut, RUN)
+            raw = text.encode()
+            for unit, a in enumerate(alphabets):
+                values = a.split(raw).values
+                key, start, n, place = runs(values, a.length, a.gram)
+                if not len(key):
+                    continue
+                back = place - start
+                view, size = memoryview(values).cast("B"), values.itemsize
+                ends = (start + n + a.length - 1) * size
+                hashes = [xxhash.xxh3_64_intdigest(view[s:e], seed=b) for s, e, b in zip((start * size).tolist(), ends.tolist(), back.tolist(), strict=True)]
+                tks += [tk] * len(key)
+                for col, x in zip(cols, (np.full(len(key), unit), key, np.array(hashes, np.uint64).view(np.int64), start, n, back), strict=True):
+                    col.append(x)
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        arrays = [pa.array(tks, pa.binary()), *(pa.array(np.concatenate(c), t) for c, t in zip(cols, types, strict=True))]
+        return pa.RecordBatch.from_arrays(arrays, names=["tk", "unit", "key", "bh", "start", "n", "back"])
+
+    return map_batches(_long_enough(texts, alphabets).select("tk", "text"), cut, RUN)
 
 
 class _Columns:
@@ -177,16 +210,18 @@ def collection_repeats(blocks: list[np.ndarray], back: np.ndarray, counts: np.nd
     return flags
 
 
+_GROUP = ("unit", "key", "sub")
+
+
 def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    """Tables of about ``most`` bytes that never part rows of one (key, sub); the rows come sorted by it."""
+    """Tables of about ``most`` bytes that never part rows of one _GROUP; the rows come sorted by it."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         for part in sliced(batch, most):
             if size >= most:
-                last = (held[-1].column("key")[-1].as_py(), held[-1].column("sub")[-1].as_py())
-                same = pc.and_(pc.equal(part.column("key"), last[0]), pc.equal(part.column("sub"), last[1]))
-                n = pc.sum(same).as_py() or 0
+                last = [pc.equal(part.column(c), held[-1].column(c)[-1].as_py()) for c in _GROUP]
+                n = pc.sum(pc.and_(pc.and_(last[0], last[1]), last[2])).as_py() or 0
                 if n:
                     held.append(part.slice(0, n))
                     part = part.slice(n)
@@ -200,35 +235,42 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def find_repeats(blocks: DataFrame, length: int, split: Split = as_bytes) -> DataFrame:
-    """hits: for blocks (key, bh, who, sub, subs, back, n, content), starts that repeat inside the collection; for keys of several
+def find_repeats(blocks: DataFrame, alphabets: list[Alphabet]) -> DataFrame:
+    """hits: for blocks (unit, key, bh, who, sub, subs, back, n, content), starts that repeat inside the collection; for keys of several
     collections also packed digests of all their strings, a row for each range of digests."""
 
+    def of_unit(unit: int, part: pa.Table) -> list[dict]:
+        a = alphabets[unit]
+        key, bh, who, subs, back, n = (part[c].to_numpy() for c in ("key", "bh", "who", "subs", "back", "n"))
+        content = [a.split(x).values for x in part["content"].to_pylist()]
+        flags = collection_repeats(content, back.astype(np.int64), n.astype(np.int64), a.length, who)
+        out = [{"unit": unit, "key": int(key[i]), "bh": int(bh[i]), "starts": np.flatnonzero(flags[i]).tolist()} for i in np.flatnonzero(flags.any(axis=1))]
+        packed: dict[tuple[int, int], bytearray] = {}
+        for i in np.flatnonzero(subs > 1):
+            tail = int(bh[i]).to_bytes(8, "little", signed=True) + int(who[i]).to_bytes(8, "little", signed=True)
+            for s in range(n[i]):
+                d = xxhash.xxh3_128_digest(content[i][s : s + a.length].tobytes())
+                packed.setdefault((int(key[i]), int.from_bytes(d[:8], "big") % int(subs[i])), bytearray()).extend(d + tail + s.to_bytes(4, "little"))
+        return out + [{"unit": unit, "key": k, "range": r, "digests": bytes(x)} for (k, r), x in packed.items()]
+
+    schema = pa.schema([("unit", pa.int32()), ("key", pa.int64()), ("bh", pa.int64()), ("starts", pa.list_(pa.int32())), ("range", pa.int64()), ("digests", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, 4 << 20):
-            key, bh, who, sub, subs, back, n = (part[c].to_numpy() for c in ("key", "bh", "who", "sub", "subs", "back", "n"))
-            content = [split(x).values for x in part["content"].to_pylist()]
-            flags = collection_repeats(content, back.astype(np.int64), n.astype(np.int64), length, who)
-            out = [{"key": int(key[i]), "bh": int(bh[i]), "starts": np.flatnonzero(flags[i]).tolist(), "range": None, "digests": None} for i in np.flatnonzero(flags.any(axis=1))]
-            packed: dict[tuple[int, int], list[bytes]] = {}
-            for i in np.flatnonzero(subs > 1):
-                tail = int(bh[i]).to_bytes(8, "little", signed=True) + int(who[i]).to_bytes(8, "little", signed=True)
-                for s in range(n[i]):
-                    d = xxhash.xxh3_128_digest(content[i][s : s + length].tobytes())
-                    packed.setdefault((int(key[i]), int.from_bytes(d[:8], "big") % int(subs[i])), []).append(d + tail + s.to_bytes(4, "little"))
-            out += [{"key": k, "bh": None, "starts": None, "range": r, "digests": b"".join(x)} for (k, r), x in packed.items()]
+            units = part["unit"].to_numpy()
+            out = [x for u in np.unique(units).tolist() for x in of_unit(u, part.filter(pa.array(units == u)))]
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.int64()), ("bh", pa.int64()), ("starts", pa.list_(pa.int32())), ("range", pa.int64()), ("digests", pa.binary())]))
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    dealt = blocks.repartition("key", "sub").sortWithinPartitions("key", "sub")
-    return dealt.mapInArrow(run, "key long, bh long, starts array<int>, range long, digests binary")
+    dealt = blocks.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return dealt.mapInArrow(run, "unit int, key long, bh long, starts array<int>, range long, digests binary")
 
 
 _ENTRY = np.dtype([("digest", "V16"), ("bh", "<i8"), ("who", "<i8"), ("start", "<i4")])
 
 
 def merge_digests(packed: DataFrame) -> DataFrame:
-    """(key, bh, starts) of strings whose digest stands twice or more among the collections of a key (from two texts, by ``who``)."""
+    """(unit, key, bh, starts) of strings whose digest stands twice or more among the collections of a key (from two texts, by ``who``)."""
 
     def merge(group: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(group["digests"].to_pylist()), _ENTRY)
@@ -239,89 +281,102 @@ def merge_digests(packed: DataFrame) -> DataFrame:
         starts: dict[int, list[int]] = {}
         for b, s in zip(x["bh"][twice].tolist(), x["start"][twice].tolist(), strict=True):
             starts.setdefault(b, []).append(s)
-        key = group["key"][0].as_py()
-        return pa.table({"key": pa.array([key] * len(starts), pa.int64()), "bh": pa.array(list(starts), pa.int64()), "starts": pa.array(list(starts.values()), pa.list_(pa.int32()))})
+        unit, key = group["unit"][0].as_py(), group["key"][0].as_py()
+        return pa.table({"unit": pa.array([unit] * len(starts), pa.int32()), "key": pa.array([key] * len(starts), pa.int64()), "bh": pa.array(list(starts), pa.int64()), "starts": pa.array(list(starts.values()), pa.list_(pa.int32()))})
 
-    return packed.groupBy("key", "range").applyInArrow(merge, "key long, bh long, starts array<int>")
+    return packed.groupBy("unit", "key", "range").applyInArrow(merge, "unit int, key long, bh long, starts array<int>")
 
 
-def repeated_starts(texts: DataFrame, length: int, gram: int, group_rows: int, split: Split = as_bytes, across: bool = False) -> DataFrame:
-    """tk and its repeated starts as (run's start, relative starts or null for all ``n`` of the run); bucketed by tk."""
+def repeated_starts(texts: DataFrame, alphabets: list[Alphabet], group_rows: int) -> DataFrame:
+    """tk and its repeated starts as (unit, run's start, n, relative starts or null for all ``n`` of the run); bucketed by tk."""
     with temporary(texts.sparkSession) as keep:
-        keys = written(count_keys(texts, length, gram, split), "keys")  # read back, so that a hot key's part of the join can be split
-        candidates = written(text_runs(texts, length, gram, split).join(keys, "key"), "candidates")
-        kinds = candidates.groupBy("key", "bh").agg(F.count("*").alias("times"), F.min(F.struct("tk", "start", "n", "back")).alias("at"), F.max("tk").alias("last_tk"))
-        apart = F.col("at.tk") != F.col("last_tk") if across else F.col("times") > 1
+        keys = written(count_keys(texts, alphabets), "keys")  # read back, so that a hot key's part of the join can be split
+        candidates = written(text_runs(texts, alphabets).join(keys, ["unit", "key"]), "candidates")
+        kinds = candidates.groupBy("unit", "key", "bh").agg(F.count("*").alias("times"), F.min(F.struct("tk", "start", "n", "back")).alias("at"), F.max("tk").alias("last_tk"))
+        across = F.col("unit").isin([u for u, a in enumerate(alphabets) if a.across])
+        apart = F.when(across, F.col("at.tk") != F.col("last_tk")).otherwise(F.col("times") > 1)
         # a block's text, 0 for several texts or where it doesn't matter
-        kinds = written(kinds.select("key", "bh", "at", apart.alias("whole"), (F.when(apart, F.lit(0)).otherwise(F.xxhash64("at.tk")) if across else F.lit(0)).cast("long").alias("who")), "kinds")
-        per_key = written(kinds.groupBy("key").agg(F.count("*").alias("kinds")), "per_key")  # read back for the same reason
-        many = kinds.join(per_key.where("kinds > 1"), "key").withColumn("subs", F.ceil(F.col("kinds") / group_rows)).withColumn("sub", F.pmod("bh", "subs"))
-        wanted = many.select("key", "bh", "who", "sub", "subs", "at.*").groupBy("tk").agg(F.collect_list(F.struct("key", "bh", "who", "sub", "subs", "start", "n", "back")).alias("cuts"))
+        who = F.when(across & ~apart, F.xxhash64("at.tk")).otherwise(F.lit(0).cast("long"))
+        kinds = written(kinds.select("unit", "key", "bh", "at", apart.alias("whole"), who.alias("who")), "kinds")
+        per_key = written(kinds.groupBy("unit", "key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "per_key")  # read back for the same reason
+        many = kinds.join(per_key, ["unit", "key"]).withColumn("subs", F.ceil(F.col("kinds") / group_rows)).withColumn("sub", F.pmod("bh", "subs"))
+        cuts = ("unit", "key", "bh", "who", "sub", "subs", "start", "n", "back")
+        wanted = many.select("unit", "key", "bh", "who", "sub", "subs", "at.*").groupBy("tk").agg(F.collect_list(F.struct(*cuts)).alias("cuts"))
+        types = {"unit": pa.int32(), "start": pa.int32(), "n": pa.int32(), "back": pa.int32()}
+        schema = pa.schema([*((c, types.get(c, pa.int64())) for c in cuts), ("content", pa.binary())])
 
         def contents(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode()
-                symbols = split(raw)
-                for c in cuts:
-                    a, b = symbols.bounds(c["start"], c["start"] + c["n"] + length - 1)
+                symbols = {u: alphabets[u].split(raw) for u in {c["unit"] for c in found}}
+                for c in found:
+                    a, b = symbols[c["unit"]].bounds(c["start"], c["start"] + c["n"] + alphabets[c["unit"]].length - 1)
                     out.append(c | {"content": raw[a:b]})
-            schema = pa.schema([*((c, pa.int64()) for c in ("key", "bh", "who", "sub", "subs")), *((c, pa.int32()) for c in ("start", "n", "back")), ("content", pa.binary())])
             return pa.RecordBatch.from_pylist(out, schema=schema)
 
-        blocks = map_batches(texts.join(wanted, "tk").select("text", "cuts"), contents, "key long, bh long, who long, sub long, subs long, start int, n int, back int, content binary")
-        found = written(find_repeats(blocks, length, split), "repeats")
-        hits = found.where("digests is null").select("key", "bh", "starts").unionByName(merge_digests(found.where("digests is not null").select("key", "range", "digests")))
-        hits = hits.groupBy("key", "bh").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-        whole = kinds.where("whole").select("key", "bh", F.lit(None).cast("array<int>").alias("starts"))
-        part = kinds.where("not whole").select("key", "bh").join(hits, ["key", "bh"])
-        of_text = candidates.join(whole.unionByName(part), ["key", "bh"]).groupBy("tk").agg(F.collect_list(F.struct("start", "n", "starts")).alias("runs"))
+        blocks = map_batches(texts.join(wanted, "tk").select("text", "cuts"), contents, "unit int, key long, bh long, who long, sub long, subs long, start int, n int, back int, content binary")
+        found = written(find_repeats(blocks, alphabets), "repeats")
+        hits = found.where("digests is null").select("unit", "key", "bh", "starts").unionByName(merge_digests(found.where("digests is not null").select("unit", "key", "range", "digests")))
+        hits = hits.groupBy("unit", "key", "bh").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+        whole = kinds.where("whole").select("unit", "key", "bh", F.lit(None).cast("array<int>").alias("starts"))
+        part = kinds.where("not whole").select("unit", "key", "bh").join(hits, ["unit", "key", "bh"])
+        of_text = candidates.join(whole.unionByName(part), ["unit", "key", "bh"]).groupBy("tk").agg(F.collect_list(F.struct("unit", "start", "n", "starts")).alias("runs"))
         return keep(written(of_text, "runs", bucket="tk"))
 
 
 def spans_of(symbols: Symbols, hits: list[dict] | None, copies: int, length: int) -> list[tuple[int, int]]:
     """Maximal repeated stretches of a text's symbols."""
     n = len(symbols.values)
-    if n < length:
+    if n < length or not hits and copies < 2:
         return []
     if copies > 1:
         return [(0, n)]
-    edge = np.zeros(n + 1, np.int64)
-    for h in hits or ():
-        s = h["start"] + (np.arange(h["n"]) if h["starts"] is None else np.asarray(h["starts"], np.int64))
-        np.add.at(edge, s, 1)
-        np.add.at(edge, s + length, -1)
-    covered = np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8)
-    turns = np.diff(covered)
-    return list(zip(np.flatnonzero(turns == 1).tolist(), np.flatnonzero(turns == -1).tolist(), strict=True))
-
-
-def byte_spans(raw: bytes, hits: list[dict] | None, copies: int, length: int, split: Split = as_bytes) -> list[tuple[int, int]]:
+    firsts, lasts = [], []  # stretches of starts
+    for h in hits:
+        if h["starts"] is None:
+            firsts.append(h["start"])
+            lasts.append(h["start"] + h["n"] - 1)
+        else:
+            at = [h["start"] + x for x in h["starts"]]
+            firsts += at
+            lasts += at
+    firsts, lasts = np.array(firsts), np.array(lasts)
+    order = np.argsort(firsts, kind="stable")
+    firsts, reach = firsts[order], np.maximum.accumulate(lasts[order]) + length
+    fresh = np.append(True, firsts[1:] > reach[:-1])
+    return list(zip(firsts[fresh].tolist(), reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(reach) - 1)].tolist(), strict=True))
+
+
+def byte_spans(raw: bytes, hits: list[dict] | None, copies: int, alphabet: Alphabet, unit: int = 0) -> list[tuple[int, int]]:
     """The same as stretches of bytes; stretches that lie next to each other stay apart."""
-    symbols = split(raw)
-    return [symbols.bounds(a, b) for a, b in spans_of(symbols, hits, copies, length)]
+    own = [h for h in hits or () if h["unit"] == unit]
+    if not own and copies < 2:
+        return []
+    symbols = alphabet.split(raw)
+    return [symbols.bounds(a, b) for a, b in spans_of(symbols, own, copies, alphabet.length)]
 
 
-def repeat_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, group_rows: int = 128, passage: int = PASSAGE) -> tuple[DataFrame, DataFrame]:
+def repeat_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, group_rows: int = 128, passage: int = 50) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): the distinct texts (tk, text, copies) and tk, spans (of bytes), n_bytes, kept_sha256 and passages (spans of bytes that
     ``passage`` words cover which another text or copy holds too) of each."""
+    alphabets = [byte_strings(length, gram), word_passages(passage)]
     texts = distinct_texts(docs)
-    starts = repeated_starts(texts, length, min(gram, max(1, length // 3)), group_rows)
-    words = repeated_starts(texts, passage, min(PASSAGE_GRAM, max(1, passage // 3)), group_rows, as_words, across=True).withColumnRenamed("runs", "word_runs")
+    starts = repeated_starts(texts, alphabets, group_rows)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans, sizes, digests, passages = [], [], [], []
-        for text, copies, hits, word_hits in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+        for text, copies, hits in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             raw = text.encode()
-            cut = byte_spans(raw, hits, copies, length)
+            cut, shared = (byte_spans(raw, hits, copies, a, u) for u, a in enumerate(alphabets))
             spans.append([{"start": a, "end": b} for a, b in cut])
             sizes.append(len(raw))
             digests.append(hashlib.sha256(kept(raw, cut)).hexdigest())
-            passages.append([{"start": a, "end": b} for a, b in byte_spans(raw, word_hits, copies, passage, as_words)] if word_hits or copies > 1 else [])
+            passages.append([{"start": a, "end": b} for a, b in shared])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(passages, span)], names=["tk", "spans", "n_bytes", "kept_sha256", "passages"])
 
-    joined = texts.join(starts, "tk", "left").join(words, "tk", "left").select("tk", "text", "copies", "runs", "word_runs")
+    joined = texts.join(starts, "tk", "left").select("tk", "text", "copies", "runs")
     return texts, map_batches(joined, digest, "tk binary, spans array<struct<start:long,end:long>>, n_bytes long, kept_sha256 string, passages array<struct<start:long,end:long>>")
 
 
@@ -333,17 +388,17 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, group_rows: int = 128, split: Split = as_bytes, across: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, alphabet: Alphabet = byte_strings(), group_rows: int = 128) -> DataFrame:
     """The rows of ``docs`` with repeated strings cut out of ``text`` (a character that a cut parts is dropped) and ``n_chars``
     brought up to date where that column is there. Each different text is cut once and then meets its rows, which come without theirs."""
     texts = distinct_texts(docs)
-    starts = repeated_starts(texts, length, min(gram, max(1, length // 3)), group_rows, split, across)
+    starts = repeated_starts(texts, [alphabet], group_rows)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         left = []
         for text, copies, hits in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             raw = text.encode()
-            left.append(kept(raw, byte_spans(raw, hits, copies, length, split)).decode(errors="ignore") if hits or copies > 1 else text)
+            left.append(kept(raw, byte_spans(raw, hits, copies, alphabet)).decode(errors="ignore") if hits or copies > 1 else text)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], names=["_cut_tk", "_cut_text"])
 
     joined = texts.join(starts, "tk", "left").select("tk", "text", "copies", "runs")
@@ -354,10 +409,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, group_r
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else rows
 
 
-def remove_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
-    """The rows of ``docs`` without passages of ``words`` words or more that another text holds too, whatever stands between their words;
-    all occurrences go."""
-    return remove_repeats(docs, words, PASSAGE_GRAM, split=as_words, across=True)
+def remove_passages(docs: DataFrame, words: int = 50) -> DataFrame:
+    """The rows of ``docs`` without passages of ``words`` words or more that another text holds too; all occurrences go."""
+    return remove_repeats(docs, word_passages(words))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,20 +40,31 @@ def as_bytes(raw: bytes) -> Symbols:
     return Symbols(np.frombuffer(raw, np.uint8))
 
 
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[9, 10, 11, 12, 13, 32]] = False
+
+
 def as_words(raw: bytes) -> Symbols:
     """Words ``[^\\x20\\x09-\\x0D]+``, hashed as polynomials over their bytes."""
     data = np.frombuffer(raw, np.uint8)
-    inside = (data != 32) & ((data < 9) | (data > 13))
-    edge = np.diff(np.concatenate([[False], inside, [False]]).view(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return Symbols(np.zeros(0, np.uint64), starts, ends)
-    data, inside = data[starts[0] :], inside[starts[0] :]
-    at = starts - starts[0]
-    place = np.arange(len(data)) - np.repeat(at, np.diff(np.append(at, len(data))))
-    powers = _powers()[0]
-    terms = np.where(inside, (data.astype(np.uint64) + np.uint64(1)) * powers[place % len(powers)], np.uint64(0))
-    return Symbols(_mixed(np.add.reduceat(terms, at)), starts, ends)
+    inside = _IN_WORD[data]
+    turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    turns = np.concatenate([np.zeros(int(len(data) > 0 and inside[0]), np.int64), turns, np.full(int(len(data) > 0 and inside[-1]), len(data))])
+    starts, ends = turns[0::2], turns[1::2]
+    powers, inverse = _powers()
+    hashes = np.zeros(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):  # words of one stretch, or one word that is longer
+        origin = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, origin + len(powers), side="right")))
+        part = data[origin : ends[last - 1]].astype(np.uint64) + np.uint64(1)
+        part *= powers[: len(part)] if len(part) <= len(powers) else np.resize(powers, len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
+        a = starts[first:last] - origin
+        hashes[first:last] = (sums[ends[first:last] - origin] - sums[a]) * inverse[a]
+        first = last
+    return Symbols(_mixed(hashes), starts, ends)
 
 
 @lru_cache(maxsize=1)

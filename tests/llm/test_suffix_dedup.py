@@ -101,7 +101,7 @@ def test_passages_same_as_brute_force(docs, seed, n, group_rows):
     texts = ["".join(w + blank() for _ in range(rng.randint(0, 4)) for w in words(rng.randint(0, 9)) + rng.choice(shared)) for _ in range(50)]
     pairs = list(enumerate(texts)) + [(60, None), (61, ""), (62, " ".join(["x", "y", "z"] * n)), (63, texts[3]), (63, texts[3]), (64, "  " + " ".join(shared[0] * 2))]
     split, hits = brute_passages(pairs, n)
-    out = S.remove_repeats(docs([(k, t) for k, (_, t) in enumerate(pairs)]), n, max(1, n // 3), group_rows, S.as_words, across=True).collect()
+    out = S.remove_repeats(docs([(k, t) for k, (_, t) in enumerate(pairs)]), S.word_passages(n), group_rows).collect()
     left = {r["doc_id"]: r["text"] for r in out}
     for k, (_, t) in enumerate(pairs):
         want = None if t is None else [w for i, w in enumerate(split[k]) if i not in hits[k]]
