@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, sliced, table, temporary, written
-from .superblocks import GRAM, Symbols, as_bytes, as_words, runs
+from .superblocks import GRAM, Symbols, as_bytes, as_words, joined, joined_runs, text_groups
 
 
 
@@ -86,7 +86,7 @@ def count_keys(texts: DataFrame, alphabets: list[Alphabet]) -> DataFrame:
         raws = [t.encode() for t in batch.column(0).to_pylist()]
         cols: list[list[np.ndarray]] = [[], [], []]
         for unit, a in enumerate(alphabets):
-            key, n = np.unique(np.concatenate([runs(a.split(raw).values, a.length, a.gram)[0] for raw in raws]), return_counts=True)
+            key, n = np.unique(np.concatenate([joined_runs(*joined(group, a.split), a.length, a.gram)[1] for _, group in text_groups(raws)]), return_counts=True)
             for col, x in zip(cols, (np.full(len(key), unit, np.int32), key, n), strict=True):
                 col.append(x)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["unit", "key", "n"])
@@ -99,23 +99,23 @@ def text_runs(texts: DataFrame, alphabets: list[Alphabet]) -> DataFrame:
     """RUN rows of all texts; bh tells blocks of a key apart (with the place of the key in them)."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tks, cols = [], [[np.zeros(0, np.int64)] for _ in range(6)]
-        for tk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = text.encode()
+        raws = [t.encode() for t in batch.column(1).to_pylist()]
+        owners, cols = [np.zeros(0, np.int64)], [[np.zeros(0, np.int64)] for _ in range(6)]
+        for first, group in text_groups(raws):
             for unit, a in enumerate(alphabets):
-                values = a.split(raw).values
-                key, start, n, place = runs(values, a.length, a.gram)
+                values, bounds = joined(group, a.split)
+                text, key, start, n, place = joined_runs(values, bounds, a.length, a.gram)
                 if not len(key):
                     continue
                 back = place - start
                 view, size = memoryview(values).cast("B"), values.itemsize
                 ends = (start + n + a.length - 1) * size
                 hashes = [xxhash.xxh3_64_intdigest(view[s:e], seed=b) for s, e, b in zip((start * size).tolist(), ends.tolist(), back.tolist(), strict=True)]
-                tks += [tk] * len(key)
-                for col, x in zip(cols, (np.full(len(key), unit), key, np.array(hashes, np.uint64).view(np.int64), start, n, back), strict=True):
+                owners.append(first + text)
+                for col, x in zip(cols, (np.full(len(key), unit), key, np.array(hashes, np.uint64).view(np.int64), start - bounds[text], n, back), strict=True):
                     col.append(x)
         types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        arrays = [pa.array(tks, pa.binary()), *(pa.array(np.concatenate(c), t) for c, t in zip(cols, types, strict=True))]
+        arrays = [batch.column(0).take(pa.array(np.concatenate(owners))), *(pa.array(np.concatenate(c), t) for c, t in zip(cols, types, strict=True))]
         return pa.RecordBatch.from_arrays(arrays, names=["tk", "unit", "key", "bh", "start", "n", "back"])
 
     return map_batches(_long_enough(texts, alphabets).select("tk", "text"), cut, RUN)

@@ -9,6 +9,7 @@ run's block holds the symbols of all its strings.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -121,3 +122,44 @@ def runs(data: np.ndarray, length: int, k: int = GRAM) -> tuple[np.ndarray, np.n
         none = np.zeros(0, np.int64)
         return none, none, none, none
     return tuple(np.concatenate(x) for x in (keys, starts, counts, places))
+
+
+def joined_runs(values: np.ndarray, bounds: np.ndarray, length: int, k: int = GRAM) -> tuple[np.ndarray, ...]:
+    """The same for several texts that lie one after the other in ``values``, text i from bounds[i] to bounds[i + 1]: (text, key, first
+    start, number of starts, place), with starts and places counted in ``values``."""
+    if len(bounds) == 2:
+        found = runs(values, length, k)
+        return np.zeros(len(found[0]), np.int64), *found
+    none = np.zeros(0, np.int64)
+    windows = len(values) - length + 1
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = np.flatnonzero(text[:windows] == text[length - 1 :]) if windows > 0 else none
+    if not len(at):
+        return none, none, none, none, none
+    h = gram_hashes(values, k)
+    low = np.uint64((1 << _POSITION_BITS) - 1)
+    owner = (sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - k + 1)[at] & low).astype(np.int64)
+    first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)))
+    start, place = at[first], owner[first]
+    return text[start], h[place].view(np.int64), start, np.diff(np.append(first, len(at))), place
+
+
+def text_groups(raws: list[bytes], most: int = 1 << 16) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of at most ``most`` bytes together, or one longer text, with the index of the first: arrays of texts one by one would
+    be too short to be worth their calls."""
+    first, size = 0, 0
+    for i, raw in enumerate(raws):
+        if i > first and size + len(raw) > most:
+            yield first, raws[first:i]
+            first, size = i, 0
+        size += len(raw)
+    if raws:
+        yield first, raws[first:]
+
+
+def joined(raws: list[bytes], split: Callable[[bytes], Symbols]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' symbols one after the other, and their bounds. A blank between texts keeps words apart; as bytes it isn't there."""
+    gap = b"" if split is as_bytes else b" "
+    found = split(gap.join(raws))
+    offsets = np.cumsum([0, *(len(r) + len(gap) for r in raws)])
+    return found.values, offsets if found.starts is None else np.append(np.searchsorted(found.starts, offsets[:-1]), len(found.values))

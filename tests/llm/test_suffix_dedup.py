@@ -120,3 +120,45 @@ def test_query_counts_passages(spark, docs, tmp_path):
     assert {i: (r["n_passages"], r["n_passage_bytes"]) for i, r in out.items()} == {1: (1, len(passage)), 2: (1, len(passage)), 3: (0, 0), 4: (0, 0), 5: (0, 0), 6: (0, 0), None: (0, 0)}
     assert sorted((i, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in out.items() if i) == [r for r in brute(pairs, 400) if r[0]]
     assert [t.split("_")[0] for t in tables() - before] == ["spans"]
+
+
+@pytest.mark.parametrize(("split", "length", "gram"), [(superblocks.as_bytes, 30, 10), (superblocks.as_words, 6, 2)])
+def test_joined_texts_have_their_own_runs(split, length, gram):
+    rng = random.Random(9)
+    raws = ["".join(rng.choice("abé \n") for _ in range(rng.choice([0, 5, 40, 400]))).encode() for _ in range(60)]
+    apart, together = [], []
+    for i, raw in enumerate(raws):
+        apart += [(i, *map(int, r)) for r in zip(*superblocks.runs(split(raw).values, length, gram), strict=True)]
+    for first, group in superblocks.text_groups(raws, 1000):
+        values, bounds = superblocks.joined(group, split)
+        for t, key, start, n, place in zip(*superblocks.joined_runs(values, bounds, length, gram), strict=True):
+            together.append((first + int(t), int(key), int(start - bounds[t]), int(n), int(place - bounds[t])))
+    assert together == apart and [r for _, g in superblocks.text_groups(raws, 1000) for r in g] == raws
+
+
+def test_runs_cover_all_starts_and_agree():
+    rng = np.random.default_rng(5)
+    a = rng.integers(97, 101, 3000).astype(np.uint8)
+    key, start, n, place = superblocks.runs(a, 50, 16)
+    assert n.sum() == len(a) - 49 and (start[1:] == start[:-1] + n[:-1]).all()
+    moved = superblocks.runs(a[700:], 50, 16)
+    own = {(k, p - 700 - s) for k, s0, c, p in zip(key, start, n, place, strict=True) for s in range(s0 - 700, s0 - 700 + c) if s >= 0}
+    assert own == {(k, p - s) for k, s0, c, p in zip(*moved, strict=True) for s in range(s0, s0 + c)}
+
+
+def test_stretches_meet(monkeypatch):
+    a = np.random.default_rng(6).integers(97, 123, 5000).astype(np.uint8)
+    whole = superblocks.runs(a, 60, 20)
+    monkeypatch.setattr(superblocks, "STRETCH", 1000)
+    superblocks._powers.cache_clear()
+    parts = superblocks.runs(a, 60, 20)
+    superblocks._powers.cache_clear()
+    spread = lambda r: [(k, p) for k, s, c, p in zip(*r, strict=True) for _ in range(c)]
+    assert spread(whole) == spread(parts)
+
+
+def test_rows_keep_their_columns(docs):
+    passage = "".join(chr(97 + i * i % 26) for i in range(300)) * 2
+    out = S.remove_repeats(docs([(1, "é" + passage + "x"), (2, "y" + passage), (3, "short"), (4, None)])).orderBy("doc_id")
+    assert out.columns == docs([]).columns
+    assert [(r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()] == [(1, "éx", 2), (2, "y", 1), (3, "short", 5), (4, None, None)]
