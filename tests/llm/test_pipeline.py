@@ -35,3 +35,58 @@ def test_odd_rows(spark, odd, none, tmp_path):
         for name, stage in C.STAGES:
             df = written(stage(spark, df, str(tmp_path)), name)
         assert df.count() >= 0
+
+
+def test_whole_table_against_plain_versions(spark):
+    from brute_pii import base_spans
+    from test_bpe import ids_of
+    from test_simhash import plain
+    from test_suffix_dedup import brute_passages
+
+    sf = "/root/testdata/sf0.001"
+    df, out = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in C.STAGES:
+        before = df
+        df = written(stage(spark, df, sf), name)
+        out[name] = (before.collect(), df.collect())
+    before, after = out["quality"]
+    assert {tuple(r) for r in after} <= {tuple(r) for r in before} and len(after) > len(before) / 2
+
+    before, after = out["near_copies"]
+    fps = [plain(r["text"]) for r in before]
+    root = list(range(len(fps)))
+    for _ in fps:
+        old = list(root)
+        for i, a in enumerate(fps):
+            for j in range(i):
+                if (a ^ fps[j]).bit_count() <= 4:
+                    root[i] = root[j] = min(root[i], root[j])
+        if root == old:
+            break
+    least = {}
+    for i, r in enumerate(before):
+        least[root[i]] = min(least.get(root[i], r["doc_id"]), r["doc_id"])
+    assert sorted(tuple(r) for r in after) == sorted(tuple(r) for r in before if r["doc_id"] in set(least.values()))
+
+    before, after = out["repeats"]
+    words, gone = brute_passages([(r["doc_id"], r["text"]) for r in before], 50)
+    left = {r["doc_id"]: r for r in after}
+    assert len(after) == len(before) and any(gone)
+    for r, w, g in zip(before, words, gone, strict=True):
+        new = left[r["doc_id"]]
+        assert new["text"] == r["text"] if not g else new["text"].split() == [x for i, x in enumerate(w) if i not in g]
+        assert new["n_chars"] == len(new["text"])
+
+    before, after = out["personal_data"]
+    left = {r["doc_id"]: r["text"] for r in after}
+    for r in before:
+        spans = base_spans(r["text"])
+        assert (left[r["doc_id"]] != r["text"]) >= bool(spans)
+        assert all(f"[{k.upper()}]" in left[r["doc_id"]] for k in {k for k, a, b in spans if not any(x != k and c < b and a < d for x, c, d in spans)})
+
+    before, after = out["packing"]
+    tokens = {r["doc_id"]: len(ids_of(r["text"])) + 1 for r in before}
+    held = {}
+    for r in after:
+        held[r["doc_id"]] = held.get(r["doc_id"], 0) + r["length"]
+    assert held == tokens
