@@ -41,10 +41,11 @@ def scratch_root(spark: SparkSession) -> str:
 _LISTED: ContextVar[list[tuple[str, DataFrame]] | None] = ContextVar("listed", default=None)
 
 
-def written(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, bucket: str | None = None, ordered: bool = False, folders: str | None = None) -> DataFrame:
     """Writes ``df`` to a table in the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
 
-    ``bucket`` names a column by which rows are dealt to as many buckets as there are shuffle partitions, so that joins by it don't move them.
+    ``bucket`` names a column by which rows are dealt to as many buckets as there are shuffle partitions, so that joins by it don't move them;
+    ``ordered`` sorts each bucket by it too. ``folders`` names a column of few values whose rows lie in folders of their own.
     """
     spark = df.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH} LOCATION '{scratch_root(spark)}/{SCRATCH}'")
@@ -52,6 +53,9 @@ def written(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     writer = df.write.format("parquet")
     if bucket:
         writer = writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket)
+        writer = writer.sortBy(bucket) if ordered else writer
+    if folders:
+        writer = writer.partitionBy(folders)
     writer.saveAsTable(full)
     found = spark.table(full)
     if (listed := _LISTED.get()) is not None:

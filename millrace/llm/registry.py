@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, neighbours, packing, pii, quality, rules, simhash, suffix_dedup, toxicity
+from . import bpe, licenses, line_dedup, neighbours, packing, pii, quality, rules, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     found = {}
-    for module in (bpe, licenses, neighbours, packing, pii, quality, rules, simhash, suffix_dedup, toxicity):
+    for module in (bpe, licenses, line_dedup, neighbours, packing, pii, quality, rules, simhash, suffix_dedup, toxicity):
         found |= {k: v for k, v in vars(module).items() if k.startswith("op") and k[2].isdigit()}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(line_dedup.SQL)
