@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, line_dedup, merkle, neighbours, packing, pii, quality, rules, simhash, suffix_dedup, toxicity
+from . import alignment, bpe, licenses, line_dedup, merkle, neighbours, packing, pii, quality, rules, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     found = {}
-    for module in (bpe, licenses, line_dedup, merkle, neighbours, packing, pii, quality, rules, simhash, suffix_dedup, toxicity):
+    for module in (alignment, bpe, licenses, line_dedup, merkle, neighbours, packing, pii, quality, rules, simhash, suffix_dedup, toxicity):
         found |= {k: v for k, v in vars(module).items() if k.startswith("op") and k[2].isdigit()}
     return found
 

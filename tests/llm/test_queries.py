@@ -27,9 +27,12 @@ COLUMNS = {
     "op8": "doc_id piece start length ids_crc32 sequence_id offset",
     "op9": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op10": "query_id rank vec_id score",
+    "op11": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op12": "doc_id n_lines n_dropped kept_sha256",
+    "op13": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
-TYPES = {"held_out": "boolean", "score": "double", "predicted": "int", "piece": "int", "rank": "int", "base_failed": "boolean", "kept": "boolean"}
-TEXTS = {"kept_sha256", "ids_sha256", "decoded_sha256", "fingerprint", "base_sha256", "spans", "base_labels", "labels"}
+TYPES = {"held_out": "boolean", "score": "double", "predicted": "int", "piece": "int", "rank": "int", "base_failed": "boolean", "kept": "boolean", "verified": "boolean"}
+TEXTS = {"kept_sha256", "ids_sha256", "decoded_sha256", "fingerprint", "base_sha256", "spans", "base_labels", "labels", "leaf", "subroot", "root", "proof_sha256", "folded_root", "groups_sha256"}
 
 
 @pytest.fixture(scope="module")
@@ -182,6 +185,26 @@ def test_op10(spark, tables):
     assert hits >= 0.9 * n and got[500_300] == [500_301]
 
 
+def test_op11(spark, tables):
+    from test_merkle import plain
+
+    same(run(spark, tables, "op11"), plain(spark.read.parquet(f"{tables}/documents.parquet").collect()))
+
+
+def test_op12(spark, tables, texts):
+    from test_line_dedup import plain
+
+    same(run(spark, tables, "op12"), [(i, n, d, hashlib.sha256(kept.encode()).hexdigest()) for i, n, d, kept in plain(texts)])
+
+
+def test_op13(spark, tables, texts):
+    from test_alignment import plain
+
+    want = {tuple(r[:7]) for r in plain(texts)}
+    rows = run(spark, tables, "op13")
+    assert len(rows) == len(texts) and {r[:7] for r in rows} == want and all((r[7] == "") == (r[1] == 0) for r in rows)
+
+
 def test_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "embeddings"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
