@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .boosting import Growth, HistogramBooster
 from .features import impute_constant, regression_metrics
 
 LOWER_IS_BETTER = {"mae", "rmse", "mape"}
@@ -67,8 +68,8 @@ def load_model(spark: SparkSession, folder: str) -> tuple[PipelineModel, dict]:
         raise
 
 
-def candidates(task: Task, trees: int = 120, boost_rounds: int = 150, strong_rounds: int = 0) -> dict:
-    """Models by name. ``strong_rounds`` adds deeper boosted trees, in place of an external booster."""
+def candidates(task: Task, trees: int = 120, boost_rounds: int = 150, strong_rounds: int = 300) -> dict:
+    """Models by name. ``strong_rounds``: trees of the two boosters on histograms, level by level and leaf by leaf; 0 leaves them out."""
     shared = {"featuresCol": "features", "labelCol": task.target}
     found = {
         "linear": LinearRegression(**shared),
@@ -76,7 +77,8 @@ def candidates(task: Task, trees: int = 120, boost_rounds: int = 150, strong_rou
         "boosted": GBTRegressor(**shared, maxIter=boost_rounds, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=task.seed),
     }
     if strong_rounds:
-        found["boosted_deep"] = GBTRegressor(**shared, maxIter=strong_rounds, maxDepth=6, stepSize=0.1, seed=task.seed)
+        found["levelwise"] = HistogramBooster(**shared, growth=Growth(trees=strong_rounds, depth=6, row_share=0.8, column_share=0.8, seed=task.seed))
+        found["leafwise"] = HistogramBooster(**shared, growth=Growth(trees=strong_rounds, leaves=31, ridge=0.0, least_rows=20, column_share=0.8, seed=task.seed))
     return found
 
 
@@ -100,8 +102,9 @@ def fit_all(task: Task, train: DataFrame, models: dict) -> Trained:
 
 
 def compare(task: Task, trained: Trained, test: DataFrame) -> DataFrame:
-    """name, mae, rmse, r2, mape of each model."""
-    parts = [regression_metrics(m.transform(task.prepared(test)), task.target, "prediction").select(F.lit(n).alias("name"), "*") for n, m in trained.models.items()]
+    """name, seconds (of training), mae, rmse, r2, mape of each model."""
+    named = lambda n: (F.lit(n).alias("name"), F.lit(trained.seconds.get(n)).cast("double").alias("seconds"))
+    parts = [regression_metrics(m.transform(task.prepared(test)), task.target, "prediction").select(*named(n), "*") for n, m in trained.models.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

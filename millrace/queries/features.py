@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as E
 from ..operators import ml as M
+from ..operators.boosting import Growth, HistogramBooster
 from ..operators.sampling import split
 from .registry import query
 
@@ -93,6 +94,17 @@ def ml_candidates(t):
     return M.compare(TASK, trained, test)
 
 
+@query()
+def boosters(t):
+    """Both boosters on a large table, their passes as jobs: errors on rows that they haven't seen."""
+    rows = t("lineitem").withColumn("month", F.month("l_shipdate")).withColumn("part", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(5)))
+    task = M.Task(target="l_extendedprice", numeric=("l_quantity", "l_discount", "l_tax", "month"), categorical=("l_returnflag", "l_linestatus"))
+    growths = {"levelwise": Growth(trees=5, rate=0.3), "leafwise": Growth(trees=5, rate=0.3, leaves=31, ridge=0.0, least_rows=20)}
+    models = {k: HistogramBooster(labelCol=task.target, growth=g, one_task=0) for k, g in growths.items()}
+    trained = M.fit_all(task, rows.where("part > 0"), models)
+    return M.compare(task, trained, rows.where("part = 0")).select("name", *(F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2")))
+
+
 @query()
 def predict(t):
     parts = split(t("customer"), "c_custkey")
