@@ -57,38 +57,80 @@ def embed_query(question: str, model: Callable[[], Callable[[list[str]], np.ndar
     return [float(x) for x in own([question.strip()])[0]]
 
 
+def embed_queries(df: DataFrame, column: str, model: Callable[[], Callable[[list[str]], np.ndarray]] | None = None) -> DataFrame:
+    """Adds ``embedding`` and ``error``: each row's question as a vector, made as those of the chunks are; a blank one is an error."""
+    bare = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"(?U)^\s+|\s+$", "")
+    taken = "_question"
+    while taken in df.columns:
+        taken += "_"
+    asked = embed(df.withColumn(taken, bare), taken, model)
+    blank = F.col(taken) == ""
+    return asked.withColumn("error", F.when(blank, "the question is empty")).withColumn("embedding", F.when(~blank, F.col("embedding"))).drop(taken)
+
+
+def usable(v: Column) -> Column:
+    """Has a direction: no null or non-finite component, not zero. Other vectors take no part in a search, as rows and as queries."""
+    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(v.isNotNull() & whole & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int = 5, key: str = "vec_id") -> DataFrame:
-    """key, score: the ``k`` rows most like one query; ties by key. No shuffle of vectors. A query of another dimension than the first
-    vector found is an error."""
+    """key, score: the ``k`` rows most like one query; ties by key. No shuffle of vectors. Rows of another dimension, and those that aren't
+    ``usable``, take no part; where usable rows have other dimensions only, the query is an error. A zero query has no hits."""
+    none = vectors.select(key, F.lit(0.0).alias("score")).where("false")
     if k <= 0:
-        return vectors.select(key, F.lit(0.0).alias("score")).where("false")
-    held = vectors.where("embedding is not null").select(F.size("embedding").alias("n")).first()
-    if held and held["n"] != len(query):
-        raise ValueError(f"the query has {len(query)} dimensions, the vectors have {held['n']}")
+        return none
+    vectors = vectors.select(key, F.col("embedding").cast("array<double>").alias("embedding")).where(usable(F.col("embedding")))
+    sizes = vectors.agg(F.max((F.size("embedding") == len(query)).cast("int")).alias("fits"), F.max(F.size("embedding")).alias("n")).first()
+    if sizes["fits"] == 0:
+        raise ValueError(f"the query has {len(query)} dimensions, the vectors have {sizes['n']}")
+    if not np.isfinite(query).all() or not np.any(query):
+        return none
     q = F.array(*(F.lit(float(x)) for x in query))
     return vectors.where(F.size("embedding") == len(query)).select(key, cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def _block(column: pa.ListArray, row: int, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and unit vectors of a block, which is a list of (key, embedding) of one dimension."""
+    rows = column[row].values
+    x = rows.field("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    return rows.field(key).to_numpy(zero_copy_only=False), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores, ties by id; only what reaches the k-th score is sorted."""
+    places = np.arange(len(scores))
+    if k < len(scores):
+        places = places[scores >= np.partition(scores, len(scores) - k)[len(scores) - k]]
+    return places[np.lexsort((ids[places], -scores[places]))[:k]]
+
+
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048, query_block: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score for each of ``queries`` (query_id, embedding): blocks of queries meet blocks of vectors."""
+    """query_id, rank, vec_id, score for each of ``queries`` (query_id, embedding): blocks of queries meet blocks of vectors of their
+    dimension. Rows and queries that aren't ``usable`` take no part."""
+    if k <= 0:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank long")
     n = vectors.count()
     blocks = max(1, -(-n // block))
     parts = max(1, -(-queries.count() // query_block))
-    held = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-    held = held.groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("held"))
-    asked = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part"))
-    asked = asked.groupBy("part").agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(held, "block").select("asked", "held")
+
+    def blocked(df: DataFrame, key: str, count: int, name: str) -> DataFrame:
+        rows = df.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding")).where(usable(F.col("embedding")) & F.col(key).isNotNull())
+        return rows.groupBy(F.size("embedding").alias("dim"), F.pmod(F.xxhash64(key), F.lit(count)).alias(name)).agg(F.collect_list(F.struct(key, "embedding")).alias(f"{name}_rows"))
+
+    held, asked = blocked(vectors, "vec_id", blocks, "block"), blocked(queries, "query_id", parts, "part")
+    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(held, ["dim", "block"]).select("part_rows", "block_rows")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for asked_rows, held_rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.array([h["embedding"] for h in held_rows], float)
-                ids = np.array([h["vec_id"] for h in held_rows])
-                q = np.array([a["embedding"] for a in asked_rows], float)
-                s = (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
-                rows = [(a["query_id"], int(ids[i]), float(s[j, i])) for j, a in enumerate(asked_rows) for i in np.lexsort((ids, -s[j]))[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
+            for row in range(b.num_rows):
+                asked_ids, q = _block(b.column(0), row, "query_id")
+                ids, x = _block(b.column(1), row, "vec_id")
+                s = np.clip(q @ x.T, -1, 1)
+                best = [best_of(s[j], ids, k) for j in range(len(asked_ids))]
+                found = np.concatenate(best)
+                at = np.repeat(np.arange(len(asked_ids)), [len(x) for x in best])
+                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[at]), pa.array(ids[found]), pa.array(s[at, found])], names=["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(score, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -62,3 +62,10 @@ def flatten_header(band: DataFrame) -> DataFrame:
     last = lambda a: F.try_element_at(a, F.lit(-1))
     parts = F.aggregate("labels", F.array().cast("array<string>"), lambda a, x: F.when(last(a).eqNullSafe(x), a).otherwise(F.concat(a, F.array(x))))
     return labels.select("sheet", "col", F.when(F.size(parts) > 0, F.array_join(parts, " | ")).otherwise(F.concat(F.lit("column_"), F.col("col").cast("string"))).alias("name"))
+
+
+def records(cells: DataFrame, names: DataFrame, starts: DataFrame) -> DataFrame:
+    """(sheet, row, record): each row from ``starts`` (sheet, data_row) on as a map from column name, given ``names`` (sheet, col, name)."""
+    data = cells.join(starts.select("sheet", "data_row"), "sheet").where(F.col("row") >= F.col("data_row"))
+    named = data.join(names.select("sheet", "col", "name"), ["sheet", "col"])
+    return named.groupBy("sheet", "row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.col("value"))))).alias("record"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Whole and real numbers as text.
@@ -50,6 +50,23 @@ def schema_rows(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame([(f, c) for f, df in frames.items() for c in df.columns], "file string, column_name string")
 
 
+def documentation_gaps(lines: DataFrame, columns: DataFrame) -> DataFrame:
+    """section, column_name, problem: what a documentation (place, line; sections ``## name``, columns ``- name``) says wrongly about
+    ``columns`` (section, column_name): a section that isn't there exactly once, a column that is missing or unknown in its section. The
+    lines are one document's."""
+    heading, item = F.regexp_extract("line", r"^## +(\S+)\s*$", 1), F.regexp_extract("line", r"^- +(\S+)", 1)
+    marked = lines.select(F.lit(0).alias("doc"), "place", F.nullif(heading, F.lit("")).alias("heading"), F.nullif(item, F.lit("")).alias("column_name"))
+    inside = Window.partitionBy("doc").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("section", F.last("heading", ignorenulls=True).over(inside))
+    counts = marked.where("heading is not null").groupBy("section").agg(F.count("*").alias("n"))
+    sections = columns.select("section").distinct().join(counts, "section", "full").where(F.coalesce("n", F.lit(0)) != 1)
+    sections = sections.select("section", F.lit(None).cast("string").alias("column_name"), F.when(F.col("n").isNull(), "section missing").otherwise("section repeated").alias("problem"))
+    said = marked.where("column_name is not null").select("section", "column_name", F.lit(True).alias("said")).distinct()
+    both = columns.select("section", "column_name", F.lit(True).alias("there")).distinct().join(said, ["section", "column_name"], "full")
+    gaps = both.where(F.col("there").isNull() | F.col("said").isNull())
+    return sections.unionByName(gaps.select("section", "column_name", F.when(F.col("there").isNull(), "column unknown").otherwise("column missing").alias("problem")))
+
+
 def schema_variants(rows: DataFrame) -> DataFrame:
     """Columns that differ only by case and blanks: norm, variants (sorted)."""
     norm = F.lower(F.regexp_replace("column_name", r"[\s_]+", ""))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,25 @@ def run_read_only(spark: SparkSession, sql: str, tables: dict[str, str]) -> Data
     return own.sql(sql.strip().rstrip(";"))
 
 
+def run_statements(spark: SparkSession, statements: DataFrame, tables: dict[str, str], most: int = 200) -> DataFrame:
+    """id, row (JSON), error: the result rows of each of ``statements`` (id, statement), run as ``run_read_only`` does, or one row with the
+    reason why it didn't run. Statements reach the driver, more than ``most`` are refused; their results don't."""
+    asked = statements.select("id", "statement").orderBy("id").limit(most + 1).collect()
+    if len(asked) > most:
+        raise ValueError(f"more than {most} statements")
+    found = spark.createDataFrame([], "id long, row string, error string")
+    for r in asked:
+        try:
+            rows = run_read_only(spark, r["statement"], tables)
+            own = rows.select(F.lit(r["id"]).cast("long").alias("id"), F.to_json(F.struct("*")).alias("row"), F.lit(None).cast("string").alias("error"))
+        except Rejected as e:
+            own = spark.createDataFrame([(r["id"], None, f"rejected: {e}")], found.schema)
+        except AnalysisException as e:
+            own = spark.createDataFrame([(r["id"], None, e.getCondition())], found.schema)
+        found = found.unionByName(own)
+    return found
+
+
 def regenerated(asked: DataFrame, generate: Callable[[list[str], list[str | None]], list[str | None]], check: Callable[[Column, Column], Column], attempts: int = 3) -> DataFrame:
     """statement, attempt, reasons beside the columns of ``asked`` (with ``question``). ``generate`` makes statements from questions and what
     was wrong before; ``check`` gives the reasons against a statement. Rows with reasons are tried again, at most ``attempts`` times."""

@@ -1,4 +1,4 @@
 """Queries over the star schema, events, documents, vectors and conversations."""
 
-from . import aggregates, corpus, features, filters, guards, joins, ranking, standard, storage  # noqa: F401
+from . import aggregates, corpus, features, files, filters, guards, joins, ranking, standard, storage  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

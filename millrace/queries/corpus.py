@@ -51,12 +51,6 @@ def path_parts(t):
     return t("pages").select("page_id", X.path_parts(F.col("url")).alias("p")).select("page_id", "p.*")
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
-def extract_pages(t):
-    # pages.html stands in for page images; any extractor can be put in its place (sources.files.extract_pages)
-    return t("pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " ")).alias("text"))
-
-
 @query()
 def embed_text(t):
     return V.embed(t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text").select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
@@ -110,22 +104,6 @@ def assign_embedding_ids(t):
     return V.assign_ids(t("embeddings").select(F.col("vec_id").alias("embedding_id")), t("documents").select("doc_id"), "doc_id").select("doc_id", "embedding_id")
 
 
-@query("SELECT DISTINCT source, regexp_extract(source, '([0-9]+)$', 1) AS number FROM documents")
-def scan_source_file(t):
-    return t("documents").select("source").distinct().select("source", F.regexp_extract("source", "([0-9]+)$", 1).alias("number"))
-
-
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
-def scan_text_columns(t):
-    return t("documents").select(*(F.col(c).cast("string").alias(c) for c in ("doc_id", "lang", "source", "n_chars")))
-
-
-@query("SELECT sha256(html) AS doc_id, min(url) AS path, max(octet_length(encode(html))) AS size_bytes FROM pages WHERE html IS NOT NULL GROUP BY 1")
-def discover_documents(t):
-    pages = t("pages").where("html is not null").select(F.sha2("html", 256).alias("doc_id"), "url", F.octet_length("html").cast("long").alias("size"))
-    return pages.groupBy("doc_id").agg(F.min("url").alias("path"), F.max("size").alias("size_bytes"))
-
-
 @query("SELECT doc_id, text IS NOT NULL AND trim(text) NOT IN ('', '{}', '[]', 'null', 'None') AS usable FROM documents")
 def nonempty_text(t):
     return t("documents").select("doc_id", X.nonempty(F.col("text")).alias("usable"))

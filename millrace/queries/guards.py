@@ -1,5 +1,7 @@
 """Guards, validators, sessions."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
@@ -128,17 +130,67 @@ def validate_contracts(t):
     return t("pages").select("page_id", F.array_join(G.contract_reasons(payload, ["status", "answer"], ["SUCCESS", "FAILED"]), ",").alias("reasons"))
 
 
-@query("SELECT 'c_missing' AS column_name")
-def doc_coverage(t):
-    expected = t.spark.createDataFrame([(c,) for c in [*t("customer").columns, "c_missing"]], "column_name string")
-    return J.not_yet(expected, t.spark.createDataFrame([(c,) for c in t("customer").columns], "column_name string"), "column_name")
-
-
 @query("SELECT conv_id, max(turn) AS turns, count(*) AS messages, arg_max(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END) AS last_user, arg_max(CASE WHEN role = 'assistant' THEN text END, CASE WHEN role = 'assistant' THEN turn END) AS last_assistant FROM conversations GROUP BY conv_id")
 def session_snapshot(t):
     return M.session_snapshot(t("conversations"))
 
 
+def _session_events(t):
+    """Each conversation as events of a session; its id decides what else happens to it."""
+    c = F.col("conv_id")
+    event = lambda rows, seq, op, key=None, value=None: rows.select("conv_id", F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(key).cast("string").alias("key"), F.lit(value).cast("string").alias("value"))
+    messages = t("conversations")
+    sessions = messages.select("conv_id").distinct()
+    there = sessions.where(c % 11 != 10)
+    parts = [
+        messages.select("conv_id", (F.col("turn") * 10 + 5).cast("long").alias("seq"), F.lit("put").alias("op"), F.col("role").alias("key"), F.col("text").alias("value")),
+        event(there, 0, "create"), event(sessions, 1, "note", "source", "a"), event(sessions.where(c % 2 == 1), 2, "note", "source", "b"),
+        event(there.where(c % 5 == 0), 17, "create"), event(sessions.where(c % 3 == 0), 18, "clear"),
+        event(sessions.where(c % 7 == 0), 1_000_000, "delete"), event(sessions.where(c % 14 == 0), 1_000_001, "create"), event(sessions, 2_000_000, "get"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+_SESSIONS = "(SELECT conv_id, conv_id % 11 <> 10 AS e FROM conversations GROUP BY conv_id)"
+
+
+@query(f"""
+SELECT op, status, count(*) AS n FROM (
+SELECT 'put' AS op, CASE WHEN conv_id % 11 <> 10 THEN 'STORED' ELSE 'NOT_FOUND' END AS status FROM conversations
+UNION ALL SELECT 'create', 'CREATED' FROM {_SESSIONS} WHERE e UNION ALL SELECT 'create', 'CREATED' FROM {_SESSIONS} WHERE conv_id % 14 = 0
+UNION ALL SELECT 'create', 'DUPLICATE' FROM {_SESSIONS} WHERE e AND conv_id % 5 = 0
+UNION ALL SELECT 'note', CASE WHEN e THEN 'STORED' ELSE 'NOT_FOUND' END FROM {_SESSIONS} UNION ALL SELECT 'note', CASE WHEN e THEN 'STORED' ELSE 'NOT_FOUND' END FROM {_SESSIONS} WHERE conv_id % 2 = 1
+UNION ALL SELECT 'clear', CASE WHEN e THEN 'CLEARED' ELSE 'NOT_FOUND' END FROM {_SESSIONS} WHERE conv_id % 3 = 0
+UNION ALL SELECT 'delete', CASE WHEN e THEN 'DELETED' ELSE 'NOT_FOUND' END FROM {_SESSIONS} WHERE conv_id % 7 = 0
+UNION ALL SELECT 'get', CASE WHEN conv_id % 14 = 0 OR (conv_id % 7 <> 0 AND e) THEN 'FOUND' ELSE 'NOT_FOUND' END FROM {_SESSIONS}) GROUP BY ALL
+""")
+def session_lifecycle(t):
+    return M.replay(_session_events(t)).groupBy("op", "status").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT conv_id, count(m.turn) AS messages, arg_max(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END) AS last_user,
+CASE WHEN conv_id % 14 = 0 THEN '' WHEN conv_id % 2 = 1 THEN 'source=b' ELSE 'source=a' END AS metadata
+FROM (SELECT DISTINCT conv_id FROM conversations) s LEFT JOIN (SELECT * FROM conversations WHERE conv_id % 14 <> 0 AND (conv_id % 3 <> 0 OR turn >= 2)) m USING (conv_id)
+WHERE conv_id % 14 = 0 OR (conv_id % 7 <> 0 AND conv_id % 11 <> 10) GROUP BY conv_id
+""")
+def session_table(t):
+    return M.session_table(_session_events(t)).withColumn("metadata", M.render(F.col("metadata")))
+
+
+@query("SELECT CAST(r_regionkey * 10 + k AS BIGINT) AS id, CASE WHEN k = 0 THEN '{\"n_regionkey\":' || r_regionkey || ',\"n\":' || (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) || '}' END AS row, CASE k WHEN 1 THEN 'rejected: not a select, no from, forbidden DROP' WHEN 2 THEN 'rejected: unknown table' WHEN 3 THEN 'TABLE_OR_VIEW_NOT_FOUND' END AS error FROM region, (VALUES (0), (1), (2), (3)) v(k)")
+def read_only_statements(t):
+    """Statements that come from rows: they see the table that they may read, and nothing else."""
+    key = F.col("r_regionkey").cast("string")
+    kinds = F.array(
+        F.concat(F.lit("SELECT n_regionkey, count(*) AS n FROM nation WHERE n_regionkey = "), key, F.lit(" GROUP BY n_regionkey;")),
+        F.lit("DROP TABLE nation"), F.lit("SELECT c_name FROM customer"), F.lit("SELECT 1 AS x FROM (SELECT 1 FROM nation) y, customer"),
+    )
+    t("customer").createOrReplaceTempView("customer")  # in the caller's session, out of reach
+    asked = t("region").select("r_regionkey", F.posexplode(kinds).alias("k", "statement"))
+    return G.run_statements(t.spark, asked.select((F.col("r_regionkey") * 10 + F.col("k")).cast("long").alias("id"), "statement"), {"nation": f"{t.sf_dir}/nation.parquet"})
+
+
 @query("SELECT conv_id, turn, length(text) <= 4000 AND trim(text) <> '' AS ok FROM conversations")
 def request_bounds(t):
     return t("conversations").select("conv_id", "turn", G.question_ok(F.col("text")).alias("ok"))

@@ -127,33 +127,6 @@ def dedup_content_hash(t):
     return docs.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-_A, _B = "('c_custkey'), ('c_name'), ('c_nationkey'), ('c_acctbal'), ('c_mktsegment')", "('s_suppkey'), ('s_name'), ('s_nationkey'), ('s_acctbal')"
-
-
-def _schemas(t):
-    rows = I.schema_rows(t.spark, {"customer": t("customer"), "supplier": t("supplier")})
-    short = rows.withColumn("column_name", F.regexp_replace("column_name", "^[a-z]_", ""))
-    return tuple(short.where(F.col("file") == f).select("column_name") for f in ("customer", "supplier"))
-
-
-@query(f"SELECT substr(a, 3) AS column_name FROM (VALUES {_A}) v(a) UNION SELECT substr(a, 3) FROM (VALUES {_B}) w(a)")
-def schema_union(t):
-    a, b = _schemas(t)
-    return a.union(b).distinct()
-
-
-@query(f"SELECT substr(a, 3) AS column_name FROM (VALUES {_A}) v(a) INTERSECT SELECT substr(a, 3) FROM (VALUES {_B}) w(a)")
-def schema_intersect(t):
-    a, b = _schemas(t)
-    return a.intersect(b)
-
-
-@query(f"SELECT substr(a, 3) AS column_name FROM (VALUES {_A}) v(a) EXCEPT SELECT substr(a, 3) FROM (VALUES {_B}) w(a)")
-def schema_except(t):
-    a, b = _schemas(t)
-    return a.exceptAll(b)
-
-
 @query("SELECT norm, list_sort(list(DISTINCT v)) AS variants FROM (SELECT lower(regexp_replace(v, '[\\s_]+', '', 'g')) AS norm, v FROM (SELECT n_name AS v FROM nation UNION ALL SELECT lower(n_name) FROM nation)) GROUP BY norm HAVING count(DISTINCT v) > 1")
 def schema_variants(t):
     names = t("nation").select(F.col("n_name").alias("column_name"))

@@ -94,51 +94,12 @@ def try_cast_real(t):
     return t("documents").select("doc_id", F.regexp_extract("text", "([0-9.]+)", 1).try_cast("double").alias("number"))
 
 
-_GRID = [
-    ("a", 0, 0, "Yearly report"), ("a", 0, 1, None), ("a", 0, 2, None), ("a", 0, 3, None),
-    ("a", 1, 0, "S.No"), ("a", 1, 1, "District"), ("a", 1, 2, "Recharge"), ("a", 1, 3, None),
-    ("a", 2, 0, None), ("a", 2, 1, None), ("a", 2, 2, "Command"), ("a", 2, 3, "Total"),
-    ("a", 3, 0, "1"), ("a", 3, 1, "North"), ("a", 3, 2, "10"), ("a", 3, 3, "12"),
-    ("a", 4, 0, "2"), ("a", 4, 1, "South"), ("a", 4, 2, "11"), ("a", 4, 3, "15"),
-]
-
-
-def _cells(t):
-    return t.spark.createDataFrame(_GRID, "sheet string, row int, col int, value string")
-
-
-@query("SELECT 'a' AS sheet, CAST(1 AS INTEGER) AS header_row")
-def locate_header_row(t):
-    return G.locate_header_row(_cells(t))
-
-
-@query("SELECT 'a' AS sheet, CAST(1 AS INTEGER) AS header_row, CAST(3 AS INTEGER) AS data_row")
-def locate_data_row(t):
-    cells = _cells(t)
-    return G.locate_data_row(cells, G.locate_header_row(cells))
-
-
-@query("SELECT 'a' AS sheet, CAST(3 AS INTEGER) AS header_row")
-def detect_header_row(t):
-    return G.detect_header_row(_cells(t))
-
-
-@query("SELECT * FROM (VALUES ('a', CAST(0 AS INTEGER), 'S.No'), ('a', 1, 'District'), ('a', 2, 'Recharge | Command'), ('a', 3, 'Recharge | Total')) v(sheet, col, name)")
-def flatten_header(t):
-    return G.flatten_header(_cells(t).where("row in (1, 2)").withColumnRenamed("row", "level"))
-
-
 @query("SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id, seg ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS filled FROM (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS seg FROM events)")
 def ffill_segments(t):
     rows = t("events").select("user_id", "event_id", F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("mark"), (F.col("event_type") == "signup").alias("reset"))
     return G.fill_segments(rows, ["user_id"], "event_id", "mark", "reset").select("user_id", "event_id", "filled")
 
 
-@query("SELECT 'a' AS sheet, count(*) AS cells FROM (VALUES (1)) v(x), range(20) r")
-def header_window(t):
-    return G.header_window(_cells(t)).groupBy("sheet").agg(F.count("*").alias("cells"))
-
-
 @query("SELECT 'MIXED' AS casing WHERE EXISTS (SELECT 1 FROM customer WHERE c_name <> upper(c_name)) UNION ALL SELECT 'UPPERCASE' WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_name <> upper(c_name))")
 def casing_profile(t):
     return I.casing(t("customer"), "c_name")
@@ -154,10 +115,3 @@ def catalog_profile(t):
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal IS NOT NULL")
 def feature_select(t):
     return t("customer").select("c_custkey", "c_acctbal").where(R.finite("c_acctbal"))
-
-
-@query("SELECT 'nation' AS sheet, n_nationkey AS row, CAST(0 AS INTEGER) AS col, CAST(n_nationkey AS VARCHAR) AS value FROM nation UNION ALL SELECT 'nation', n_nationkey, 1, n_name FROM nation")
-def grid_scan(t):
-    # a table as a sheet of cells; workbooks come from sources.files.read_sheets
-    cells = F.inline(F.array(*(F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("value")) for i, c in enumerate(("n_nationkey", "n_name")))))
-    return t("nation").select(F.lit("nation").alias("sheet"), F.col("n_nationkey").alias("row"), cells)

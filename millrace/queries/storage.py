@@ -70,13 +70,8 @@ def model_sink(t):
 @query("SELECT r_regionkey, r_name, NULL AS error FROM region UNION ALL SELECT -1, ' ', 'the question is empty'")
 def query_vector(t):
     """Each question's vector is the one that chunks get; a blank question is an error."""
-    names = [(r["r_regionkey"], r["r_name"]) for r in t("region").collect()]
-    rows = []
-    for key, text in [*names, (-1, " ")]:
-        try:
-            rows.append((key, text, V.embed_query(text), None))
-        except ValueError as e:
-            rows.append((key, text, None, str(e)))
-    own = t.spark.createDataFrame(rows, "r_regionkey long, r_name string, own array<double>, error string")
-    embedded = V.embed(own, "r_name")
+    names = t("region").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name")
+    blank = names.agg(F.lit(-1).cast("long").alias("r_regionkey"), F.lit(" ").alias("r_name"))
+    asked = V.embed_queries(names.withColumn("asked", F.concat(F.lit(" \n"), "r_name", F.lit("\t"))).unionByName(blank.withColumn("asked", F.col("r_name"))), "asked")
+    embedded = V.embed(asked.withColumnRenamed("embedding", "own"), "r_name")
     return embedded.where(F.col("error").isNotNull() | (F.col("own") == F.col("embedding"))).select("r_regionkey", "r_name", "error")

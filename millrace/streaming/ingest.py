@@ -11,25 +11,35 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_documents(spark: SparkSession, folder: str, schema: str, per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def ingest(documents: DataFrame, manifest: str, checkpoint: str, process: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Appends documents (text) of unknown content to the manifest (doc_id, text). A batch that is run again finds its rows there."""
+def ingest(documents: DataFrame, manifest: str, checkpoint: str, process: Callable[[DataFrame], None] | None = None, time: str | None = None, keep: str = "30 days") -> StreamingQuery:
+    """Takes in each content once: documents (text) of unknown content go to the manifest (doc_id, text; batch). What is known lies in the
+    stream's keyed state, on each executor's disk and in ``checkpoint``, so a batch costs its own rows, however long the manifest. With
+    an event ``time``, a content is forgotten ``keep`` after it was first seen; without one, never. A batch that is run again has
+    the same rows and replaces its own part of the manifest; ``process`` sees it again."""
+    known = documents.where("text is not null").withColumn("doc_id", F.sha2("text", 256))
+    fresh = known.withWatermark(time, keep).dropDuplicatesWithinWatermark(["doc_id"]) if time else known.dropDuplicates(["doc_id"])
 
-    def take(batch: DataFrame, _: int) -> None:
-        from ..sources.sinks import append, load_or_empty
-
-        spark = batch.sparkSession
-        fresh = batch.where("text is not null").withColumn("doc_id", F.sha2("text", 256)).dropDuplicates(["doc_id"])
-        known = load_or_empty(spark, manifest, "doc_id string, text string")
-        new = fresh.join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text")
+    def take(batch: DataFrame, number: int) -> None:
+        new = batch.select("doc_id", "text")
         if process:
             process(new)
-        append(new, manifest)
-
-    return documents.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        new.write.mode("overwrite").parquet(f"{manifest}/batch={number}")
+
+    conf = documents.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, ROCKS)  # keys on disk, not in the executors' heap
+    try:
+        return fresh.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(STATE_STORE, before) if before else conf.unset(STATE_STORE)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

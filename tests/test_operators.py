@@ -138,6 +138,22 @@ def test_nearest_of_many(spark):
     assert {r["query_id"]: r["vec_id"] for r in batch.collect()} == {0: 0, 1: 1, 2: 2}
 
 
+def test_vectors_without_direction(spark):
+    """Null, zero and non-finite vectors, and those of another dimension, take no part, as rows and as queries."""
+    odd = [(3, None), (4, [0.0, 0.0, 0.0]), (5, [float("nan"), 1.0, 0.0]), (6, [None, 1.0, 0.0]), (7, [1.0, 2.0]), (8, [3.0, 6.0]), (9, []), (10, [2.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 1.0, 0.0]), *odd], "vec_id long, embedding array<float>")
+    assert [(r["vec_id"], round(r["score"], 6)) for r in V.top_k(df, [1.0, 0.0, 0.0], 9).collect()] == [(0, 1.0), (10, 1.0), (2, 0.707107), (1, 0.0)]
+    assert V.top_k(df, [0.0, 0.0, 0.0]).collect() == [] and V.top_k(df, [float("nan"), 0.0, 1.0]).collect() == []
+    assert V.top_k(df.where("vec_id in (3, 4, 9)"), [1.0]).collect() == []
+    for block, query_block in ((2048, 256), (2, 1)):
+        batch = V.top_k_batch(df, df.withColumnRenamed("vec_id", "query_id"), 3, block, query_block).collect()
+        found = {}
+        for r in sorted(batch, key=lambda r: (r["query_id"], r["rank"])):
+            assert -1 <= r["score"] <= 1
+            found.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert found == {0: [0, 10, 2], 10: [0, 10, 2], 1: [1, 2, 0], 2: [2, 0, 1], 7: [7, 8], 8: [7, 8]}
+
+
 def test_guarded_statements(spark, tmp_path):
     from pyspark.errors import AnalysisException
 
@@ -164,6 +180,45 @@ def test_text_tables_of_two_encodings(spark, tmp_path):
     assert {(r["k"], r["v"], r["w"]) for r in rows} == {("1", "a", None), ("2", None, "é")}
     (tmp_path / "empty").mkdir()
     assert files.read_text_table(spark, str(tmp_path / "empty")).collect() == []
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.csv").write_text('k,"a b",k,\n1,"x, ""y""",3,4\n\n1,2,3,4,5\n1,2\n5,,7,8\n', newline="\r\n")
+    (tmp_path / "many" / "quoted.csv").write_text('k,note\n1,"two\nlines"\n')
+    rows = files.read_text_table(spark, str(tmp_path / "many" / "a.csv"))
+    assert rows.columns == ["k", "a b", "k2", "_c3", "source_file"]
+    assert {tuple(r)[:4] for r in rows.collect()} == {("1", 'x, "y"', "3", "4"), ("5", None, "7", "8")}
+    assert [(r["k"], r["note"]) for r in files.read_text_table(spark, str(tmp_path / "many" / "quoted.csv"), multi_line=True).collect()] == [("1", "two\nlines")]
+
+
+def test_large_text_files_are_split(spark, tmp_path):
+    """A Latin-1 file whose only telling line is its last one, read in many splits."""
+    lines = [f"{k},Ã© {k}" for k in range(20000)]
+    (tmp_path / "big.csv").write_bytes(("k,v\n" + "\n".join(lines) + "\n20000,\xe9\n").encode("latin-1"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        rows = files.read_text_table(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        assert {(r["k"], r["v"]) for r in rows.collect()} == {(str(k), f"Ã© {k}") for k in range(20000)} | {("20000", "é")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_workbooks_written_and_read(spark, tmp_path):
+    book = files.workbook([["S.No", "a & <b>", None], [None, "  x ", "ä"], ["1"] + [str(k) for k in range(30)]])
+    files.write_files(spark.createDataFrame([("in/x.xlsx", bytearray(book)), ("y.xlsx", bytearray(b"broken"))], "name string, content binary"), f"file://{tmp_path}")
+    cells = {(r["row"], r["col"]): r["value"] for r in files.read_sheets(spark, str(tmp_path / "in")).collect()}
+    assert (cells[0, 1], cells[1, 1], cells[1, 2], cells[2, 30]) == ("a & <b>", "  x ", "ä", "29") and len(cells) == 2 + 2 + 31
+    assert sorted(p.name for p in tmp_path.rglob("*.xlsx")) == ["x.xlsx", "y.xlsx"] and files.read_sheets(spark, str(tmp_path / "*.xlsx")).collect() == []
+
+
+def test_documentation_gaps(spark):
+    from millrace.operators import inspect
+
+    lines = spark.createDataFrame(list(enumerate(["# Title", "## a", "- x", "- gone", "## b", "- x", "## a", "## c"])), "place int, line string")
+    columns = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("d", "z")], "section string, column_name string")
+    want = {("a", None, "section repeated"), ("c", None, "section missing"), ("d", None, "section missing"), ("a", "gone", "column unknown"), ("a", "y", "column missing"), ("d", "z", "column missing")}
+    got = {tuple(r) for r in inspect.documentation_gaps(lines, columns).collect()}
+    assert got == want - {("c", None, "section missing")}
 
 
 def test_sheets(spark, tmp_path):
