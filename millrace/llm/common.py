@@ -130,7 +130,8 @@ def fold(column: str, modulus: int) -> F.Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, keep: F.Column | None = None, most_bytes: int | None = None) -> DataFrame:
     """(doc_id, text, y): at most ``rows`` labelled documents, chosen by the hash of their id; the labels' side is bounded and so broadcast.
-    With ``most_bytes``, as many of them in that order as have no more text.
+    With ``most_bytes``, as many of them in that order as have no more text; one that alone has more is passed over, so that it can't empty
+    the sample. Only ids and lengths meet in one task for that.
 
     Labels that repeat an id count as one (the larger), so do documents (the smallest digest); null labels and ids are left out.
     """
@@ -139,12 +140,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int,
         y = y.where(keep)
     y = y.groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(y), "doc_id")
-    found = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if most_bytes is not None:
+        sizes = texts.join(F.broadcast(y), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("digest"), F.octet_length("text").alias("size"))
+        sizes = sizes.groupBy("doc_id").agg(F.min_by("size", "digest").alias("size"), F.first("y").alias("y")).where(F.col("size") <= most_bytes)
         so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-        found = found.withColumn("_bytes", F.sum(F.octet_length("text")).over(so_far)).where(F.col("_bytes") <= most_bytes).drop("_bytes")
-    return found
+        y = sizes.withColumn("so_far", F.sum("size").over(so_far)).where(F.col("so_far") <= most_bytes).select("doc_id", "y")
+    found = texts.join(F.broadcast(y), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:

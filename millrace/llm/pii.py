@@ -149,24 +149,24 @@ def _joined(kinds: tuple[str, ...]) -> Column:
 
 def redact_pii(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with each span of ``text`` replaced by its kind in brackets; overlapping spans become one, under the first's kind."""
-    names = docs.columns
-    spans = find_pii(docs, tuple(names))
+    names = docs.columns  # as fields of a row, whatever they are called
+    found = find_pii(docs.select(F.struct("*").alias("row"), "text"), ("row",))
     every = F.array_sort(F.concat(*(F.transform(f"spans_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))) for k in KINDS)))
-    out = spans.select(*names, every.alias("_spans"))
+    out = found.select("row", every.alias("spans"), F.coalesce("row.text", F.lit("")).alias("body"))
 
     def step(a: Column, s: Column) -> Column:
         start = F.greatest(s["start"], a["at"])
-        before = F.substring(F.coalesce(F.col("text"), F.lit("")), (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
+        before = F.substring(F.col("body"), (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
         fresh = s["start"] >= a["at"]
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["done"], F.array(F.concat(before, F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(a["done"]).alias("done"), start.alias("start"))
 
     first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("done"), F.lit(0).cast("long").alias("start"))
-    whole = F.aggregate("_spans", first, step, lambda a: F.concat(F.array_join(a["done"], ""), F.substring(F.coalesce(F.col("text"), F.lit("")), (a["at"] + 1).cast("int"), F.lit(2147483647))))
-    text = F.when(F.size("_spans") > 0, whole).otherwise(F.col("text"))
-    out = out.withColumn("_text", text).withColumn("text", F.col("_text"))
+    whole = F.aggregate("spans", first, step, lambda a: F.concat(F.array_join(a["done"], ""), F.substring("body", (a["at"] + 1).cast("int"), F.lit(2147483647))))
+    out = out.select("row", F.when(F.size("spans") > 0, whole).alias("redacted"))
+    changed = {"text": F.coalesce("redacted", "row.text")}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+        changed["n_chars"] = F.coalesce(F.length("redacted").cast(docs.schema["n_chars"].dataType), "row.n_chars")
+    return out.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in names))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

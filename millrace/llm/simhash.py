@@ -226,13 +226,13 @@ def keep_one(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
         first = written(rows.groupBy("root").agg(F.min(order).alias("first")), "first")
         kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tk") == F.col("first.tk"))
-        away = rows.join(first, "root").where(~kept | (F.col("times") > 1)).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), kept.alias("_kept"))
+        away = rows.join(first, "root").where(~kept | (F.col("times") > 1)).select(F.col("doc_id").alias("away_id"), F.col("tk").alias("away_tk"), kept.alias("kept"))
         away = keep(written(away, "away"))
-    same = lambda t: docs["doc_id"].cast("long").eqNullSafe(t["_id"]) & (tk == t["_tk"])
-    again = away.where("_kept")
-    once = docs.join(away.hint("merge"), same(away), "left_anti")  # grows with the documents, so texts move at every size alike
-    repeated = docs.join(again, same(again), "left_semi").withColumn("_tk", tk).dropDuplicates(["doc_id", "_tk"]).drop("_tk")
-    return once.unionByName(repeated)
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), tk.alias("tk"))  # columns as fields, whatever they are called
+    same = F.col("id").eqNullSafe(F.col("away_id")) & (F.col("tk") == F.col("away_tk"))
+    once = whole.join(away.hint("merge"), same, "left_anti")  # grows with the documents, so texts move at every size alike
+    repeated = whole.join(away.where("kept"), same, "left_semi").dropDuplicates(["id", "tk"])
+    return once.unionByName(repeated).select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

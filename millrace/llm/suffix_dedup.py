@@ -399,14 +399,15 @@ def remove_repeats(docs: DataFrame, alphabet: Alphabet = byte_strings(), group_r
         for text, copies, hits in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             raw = text.encode()
             left.append(kept(raw, byte_spans(raw, hits, copies, alphabet)).decode(errors="ignore") if hits or copies > 1 else text)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], names=["_cut_tk", "_cut_text"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], names=["key", "cut"])
 
     joined = texts.join(starts, "tk", "left").select("tk", "text", "copies", "runs")
-    cuts = map_batches(joined, cut, "_cut_tk binary, _cut_text string")
-    names = docs.columns
-    rows = docs.select(*(docs[c] for c in names if c != "text"), docs["text"].isNull().alias("_cut_none"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("_cut_key"))
-    rows = rows.join(cuts, F.col("_cut_key") == F.col("_cut_tk")).withColumn("text", F.when(~F.col("_cut_none"), F.col("_cut_text"))).select(*names)
-    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else rows
+    cuts = map_batches(joined, cut, "key binary, cut string")
+    names = docs.columns  # as fields of a row, whatever they are called
+    rows = docs.select(F.struct(*(docs[c] for c in names if c != "text")).alias("row"), docs["text"].isNull().alias("none"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("key"))
+    text = F.when(~F.col("none"), F.col("cut"))
+    changed = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {"text": text}
+    return rows.join(cuts, "key").select(*(changed.get(c, F.col("row")[c]).alias(c) for c in names))
 
 
 def remove_passages(docs: DataFrame, words: int = 50) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from millrace.llm.common import written
 
@@ -37,6 +39,24 @@ def test_odd_rows(spark, odd, none, tmp_path):
         assert df.count() >= 0
 
 
+def test_columns_of_any_name(spark, docs, tmp_path):
+    """Columns that have the names of the stages' own ones come back as they were."""
+    words = " ".join(f"word{k}" for k in range(70))
+    pairs = [(1, f"one {words} mail a@b.example"), (2, f"two {words}"), (3, "Plain text without anything."), (4, None), (5, "Plain text without anything.")]
+    names = "spans_email kept_text found_ip gaps_ip _spans _text spans body row redacted _cut_key _cut_tk _cut_text _cut_none key cut none tk _tk _id _kept id away_id away_tk root times first score".split()
+    df = docs(pairs)
+    df = df.select("*", *(F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names if n not in df.columns))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = {r["doc_id"]: r.asDict() for r in df.collect()}
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        for r in out.collect():
+            own = r.asDict()
+            assert {k: v for k, v in own.items() if k not in ("text", "n_chars")} == {k: v for k, v in before[r["doc_id"]].items() if k not in ("text", "n_chars")}
+    C.STAGES[-1][1](spark, df, str(tmp_path)).collect()
+
+
 def test_whole_table_against_plain_versions(spark):
     from brute_pii import base_spans
     from test_bpe import ids_of
