@@ -15,8 +15,9 @@ a vector that a third of all rows share costs no more than another. Entries are
 summed distance at which the walk ended, and takes there the cells within it; queries travel in
 blocks likewise.
 
-Vectors are compared within their dimension; one of up to ``exact_rows`` different vectors needs no
-index and is searched whole. Codebooks and cell counts (65,536 at most) of each larger dimension
+Vectors are compared within their dimension, each with an index of its own; walks meet ``k`` + 1
+different vectors at least. On request (``exact_rows``, 0 unless given) dimensions of up to so many
+different vectors are searched whole. Codebooks and cell counts (65,536 at most) of each dimension
 are all that is broadcast.
 
 Defined cases: vectors that are null, zero or hold null or non-finite parts take no part, nor do
@@ -197,7 +198,7 @@ def _best(q: np.ndarray, own: int, x: np.ndarray, ids: pa.ListArray, k: int) ->
         entries *= 4
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.95, sample_rows: int = 20_000, block_rows: int = 2048, query_rows: int = 256, exact_rows: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.95, sample_rows: int = 20_000, block_rows: int = 2048, query_rows: int = 256, exact_rows: int = 0) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of ``vectors`` (vec_id, embedding) for each of ``queries`` (same columns)."""
     spark = vectors.sparkSession
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
@@ -214,7 +215,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
             placed = written(_placed(entries, index), "placed")
             index.counts = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
             held.append(placed)
-            routed.append(_routed(asked, index, max(exact_rows, math.ceil(share * n))))
+            routed.append(_routed(asked, index, max(k + 1, math.ceil(share * n))))
         small = ~F.col("size").isin(list(indexes)) if indexes else F.lit(True)
         rest = entries.withColumn("size", F.size("v").cast("long")).where(small)
         held.append(rest.select(whole.alias("grp"), F.lit(None).cast("long").alias("cell"), "v", "ids"))
