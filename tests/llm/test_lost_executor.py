@@ -29,7 +29,7 @@ killed = []
 
 
 def executors():
-    """Processes may end while they are looked at."""
+    # processes may end while they are looked at
     for p in psutil.Process().children(recursive=True):
         try:
             if "CoarseGrainedExecutorBackend" in " ".join(p.cmdline()):
