@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +47,6 @@ def duplicate_report(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_before"), F.count("*").alias("rows_after")).withColumn("duplicates", F.col("rows_before") - F.col("rows_after"))
 
 
-def schema_rows(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
-    """(file, column_name) of each column of each frame."""
-    return spark.createDataFrame([(f, c) for f, df in frames.items() for c in df.columns], "file string, column_name string")
-
-
 def documentation_gaps(lines: DataFrame, columns: DataFrame) -> DataFrame:
     """section, column_name, problem: what a documentation (place, line; sections ``## name``, columns ``- name``) says wrongly about
     ``columns`` (section, column_name): a section that isn't there exactly once, a column that is missing or unknown in its section. The
@@ -76,10 +73,67 @@ def schema_variants(rows: DataFrame) -> DataFrame:
 def catalogue_profile(spark: SparkSession, names: list[str]) -> DataFrame:
     """table_name, n_columns, n_rows of registered views or tables."""
     parts = [spark.table(n).agg(F.lit(n).alias("table_name"), F.lit(len(spark.table(n).columns)).alias("n_columns"), F.count("*").alias("n_rows")) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Property in which a table names the columns of its key, and what is read of a table's description.
+KEY_PROPERTY = "millrace.key"
+_DESCRIPTION = "table_name string, columns array<struct<name string, type struct<name string>, nullable boolean>>, partition_columns array<string>, bucket_columns array<string>, sort_columns array<string>, table_properties map<string,string>"
+
+
+def declare_key(spark: SparkSession, name: str, columns: list[str]) -> None:
+    """Names a table's key; ``key_report`` tells whether its rows keep to it."""
+    unknown = [c for c in columns if c not in spark.table(name).columns]
+    if unknown or not columns:
+        raise ValueError(f"{name} has no column {unknown}" if unknown else "a key has a column at least")
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{KEY_PROPERTY}' = '{','.join(columns)}')")
+
+
+def reflect_columns(spark: SparkSession, names: list[str]) -> DataFrame:
+    """table_name, position (from 0), column_name, type_name, nullable, and what a column serves for as places from 0 or null: key_place,
+    partition_place, bucket_place, sort_place. Read from the catalogue; no table is scanned. A table without a key has nulls there."""
+    said = [spark.sql(f"DESCRIBE TABLE EXTENDED {n} AS JSON").select(F.from_json("json_metadata", _DESCRIPTION).alias("d")).select("d.*") for n in names]
+    tables = reduce(DataFrame.unionByName, said).withColumn("key_columns", F.split(F.col("table_properties")[KEY_PROPERTY], ","))
+    place = lambda among: F.nullif(F.array_position(among, F.col("column.name")), F.lit(0).cast("long")) - 1
+    uses = ("key", "partition", "bucket", "sort")
+    each = tables.select("table_name", *(f"{u}_columns" for u in uses), F.posexplode("columns").alias("position", "column"))
+    return each.select("table_name", "position", F.col("column.name").alias("column_name"), F.col("column.type.name").alias("type_name"), "column.nullable", *(place(F.col(f"{u}_columns")).cast("int").alias(f"{u}_place") for u in uses))
+
+
+def key_report(spark: SparkSession, names: list[str]) -> DataFrame:
+    """table_name, key_columns, n_rows, n_null (rows with a null in the key), n_repeated (rows beyond the first of a key), is_key of each
+    table; without a declared key only the rows are counted and is_key is null. One pass a table, of its key's columns; keys are
+    combined before they move, and a key that very many rows hold is one row by then."""
+
+    def one(name: str) -> DataFrame:
+        df = spark.table(name)
+        said = spark.sql(f"SHOW TBLPROPERTIES {name}").where(F.col("key") == KEY_PROPERTY).first()  # a table's properties, not its rows
+        label = F.lit(name.rpartition(".")[2]).alias("table_name")
+        if said is None:
+            none = F.lit(None)
+            return df.agg(label, none.cast("string").alias("key_columns"), F.count("*").alias("n_rows"), none.cast("long").alias("n_null"), none.cast("long").alias("n_repeated"), none.cast("boolean").alias("is_key"))
+        key = said["value"].split(",")
+        null = F.expr(" OR ".join(f"`{c}` IS NULL" for c in key))
+        groups = df.groupBy(*key).agg(F.count("*").alias("_n")).select("_n", null.alias("_null"))
+        total = lambda x: F.coalesce(F.sum(x), F.lit(0).cast("long"))
+        facts = groups.agg(total("_n").alias("n_rows"), total(F.when(F.col("_null"), F.col("_n"))).alias("n_null"), total(F.when(~F.col("_null"), F.col("_n") - 1)).alias("n_repeated"))
+        return facts.select(label, F.lit(",".join(key)).alias("key_columns"), "n_rows", "n_null", "n_repeated", ((F.col("n_null") == 0) & (F.col("n_repeated") == 0)).alias("is_key"))
+
+    return reduce(DataFrame.unionByName, [one(n) for n in names])
+
+
+def value_domains(df: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """column_name, n_values, values (sorted, as text; null if there are more than ``most``) of columns that hold few values. Distinct
+    values are found in one pass over all columns, combined before they move; no more than ``most`` + 1 of a column are gathered."""
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns))).alias("cell")).select("cell.*")
+    found = cells.where("value is not null").distinct()
+    first = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
+    some = found.withColumn("_first", first).where(F.col("_first") <= most + 1).groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    sizes = found.groupBy("column_name").agg(F.count("*").alias("n_values"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    out = names.join(F.broadcast(sizes), "column_name", "left").join(F.broadcast(some), "column_name", "left")
+    empty = F.array().cast("array<string>")
+    return out.select("column_name", F.coalesce("n_values", F.lit(0)).alias("n_values"), F.when(F.coalesce("n_values", F.lit(0)) <= most, F.coalesce("values", empty)).alias("values"))
 
 
 def casing(df: DataFrame, column: str) -> DataFrame:

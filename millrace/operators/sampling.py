@@ -28,8 +28,10 @@ def stratified(df: DataFrame, strata: list[str], target: int, column: str, seed:
     if (facts["_n"] or 0) <= target or not facts["_g"]:
         return df
     cap = -(-target // facts["_g"])
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(shuffle_key(column, seed), column))
-    return sample_rows(df.where(known).withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank"), target, column, seed)
+    # each task passes on no more than ``cap`` rows of a stratum; the digest is computed once
+    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_digest", column))
+    ranked = df.where(known).withColumn("_digest", shuffle_key(column, seed)).withColumn("_rank", rank).where(F.col("_rank") <= cap)
+    return ranked.orderBy("_digest", column).limit(target).drop("_rank", "_digest")
 
 
 def split(df: DataFrame, column: str, share: float = 0.8, seed: int = SEED) -> DataFrame:
@@ -51,8 +53,10 @@ def surrogate_key(df: DataFrame, order: list[str], name: str = "id") -> DataFram
     counted inside their range and fixed in the shared folder; each adds what lies in the ranges before its own. Ties follow a hash of
     the row, so that a common key is dealt to several ranges; equal rows get adjoining ids."""
     hashed = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    ranged = df.withColumn("_tie", F.xxhash64(*hashed)).repartitionByRange(*order, "_tie").withColumn("_part", F.spark_partition_id())
-    inside = fixed(ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order, "_tie"))))
-    sizes = inside.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
-    return inside.join(F.broadcast(before), "_part").withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before", "_tie")
+    ranged = df.withColumn("_tie", F.xxhash64(*hashed)).repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
+    # the number of the range in the upper bits, of the row inside it in the lower 33: no window, so the rows move once
+    inside = fixed(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    part, number = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = inside.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return inside.join(F.broadcast(before), part == F.col("_part")).withColumn(name, (number + F.col("_before") + 1).cast("long")).drop("_part", "_place", "_before", "_tie")

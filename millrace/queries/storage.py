@@ -7,6 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import inspect as I
 from ..operators import ml as M
 from ..session import shared_folder
 from ..sources import sinks
@@ -75,3 +76,42 @@ def query_vector(t):
     asked = V.embed_queries(names.withColumn("asked", F.concat(F.lit(" \n"), "r_name", F.lit("\t"))).unionByName(blank.withColumn("asked", F.col("r_name"))), "asked")
     embedded = V.embed(asked.withColumnRenamed("embedding", "own"), "r_name")
     return embedded.where(F.col("error").isNotNull() | (F.col("own") == F.col("embedding"))).select("r_regionkey", "r_name", "error")
+
+
+def _warehouse(t) -> list[str]:
+    """Customers with a running id, in buckets; orders and nations under keys of their own, the former one that doesn't hold."""
+    base, root = f"millrace_{uuid.uuid4().hex}", _place(t, "warehouse")
+    t.spark.sql(f"CREATE DATABASE {base} LOCATION '{root}'")
+    customers = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    sinks.save_table(customers, f"{base}.customers", ["c_name", "c_custkey"], bucket="c_nationkey", buckets=4, sort=["c_nationkey", "c_custkey"])
+    t("orders").select("o_orderkey", "o_custkey", "o_orderstatus").write.partitionBy("o_orderstatus").saveAsTable(f"{base}.orders")
+    t("nation").select("n_nationkey", "n_name").write.saveAsTable(f"{base}.nations")
+    I.declare_key(t.spark, f"{base}.orders", ["o_orderstatus", "o_custkey"])
+    return [f"{base}.{x}" for x in ("customers", "orders", "nations")]
+
+
+_REFLECTED = (
+    ("customers", "customer", "c_custkey c_name c_nationkey c_acctbal id"),
+    ("orders", "orders", "o_orderkey o_custkey o_orderstatus"),
+    ("nations", "nation", "n_nationkey n_name"),
+)
+_USES = "(VALUES ('customers', 'id', 0, NULL, NULL, NULL), ('customers', 'c_nationkey', NULL, NULL, 0, 0), ('customers', 'c_custkey', NULL, NULL, NULL, 1), ('orders', 'o_orderstatus', 0, 0, NULL, NULL), ('orders', 'o_custkey', 1, NULL, NULL, NULL)) u(table_name, column_name, key_place, partition_place, bucket_place, sort_place)"
+_OWN = " UNION ALL ".join(f"SELECT '{name}' AS table_name, CAST({i} AS INTEGER) AS position, '{c}' AS column_name, " + (f"(SELECT column_type FROM (DESCRIBE {source}) WHERE column_name = '{c}')" if c != "id" else "'BIGINT'") + " AS kind" for name, source, columns in _REFLECTED for i, c in enumerate(columns.split()))
+
+
+@query(f"SELECT table_name, position, column_name, CASE kind WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(kind) END AS type_name, true AS nullable, CAST(key_place AS INTEGER) AS key_place, CAST(partition_place AS INTEGER) AS partition_place, CAST(bucket_place AS INTEGER) AS bucket_place, CAST(sort_place AS INTEGER) AS sort_place FROM ({_OWN}) LEFT JOIN {_USES} USING (table_name, column_name)")
+def catalog_columns(t):
+    return I.reflect_columns(t.spark, _warehouse(t))
+
+
+@query("SELECT 'customers' AS table_name, 'id' AS key_columns, count(*) AS n_rows, 0 AS n_null, 0 AS n_repeated, true AS is_key FROM customer UNION ALL SELECT 'orders', 'o_orderstatus,o_custkey', count(*), count(*) FILTER (o_orderstatus IS NULL OR o_custkey IS NULL), count(*) FILTER (o_orderstatus IS NOT NULL AND o_custkey IS NOT NULL) - count(DISTINCT (o_orderstatus, o_custkey)) FILTER (o_orderstatus IS NOT NULL AND o_custkey IS NOT NULL), false FROM orders UNION ALL SELECT 'nations', NULL, count(*), NULL, NULL, NULL FROM nation")
+def catalog_keys(t):
+    return I.key_report(t.spark, _warehouse(t))
+
+
+_DOMAINS = ("o_orderstatus", "o_orderpriority", "o_custkey")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_values, CASE WHEN count(DISTINCT {c}) <= 25 THEN list_sort(list(DISTINCT CAST({c} AS VARCHAR)) FILTER ({c} IS NOT NULL)) END AS vals FROM orders" for c in _DOMAINS))
+def value_domains(t):
+    return I.value_domains(t("orders"), list(_DOMAINS), 25).withColumnRenamed("values", "vals")

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..operators.inspect import declare_key
 from ..operators.sampling import surrogate_key
 
 
@@ -39,6 +40,13 @@ def load_or_empty(spark: SparkSession, path: str, schema: StructType | str, kind
         raise
 
 
-def save_table(df: DataFrame, name: str, order: list[str]) -> None:
-    """Drops and recreates a managed table with a running id over ``order``."""
-    surrogate_key(df, order).write.mode("overwrite").saveAsTable(name)
+def save_table(df: DataFrame, name: str, order: list[str], path: str | None = None, bucket: str | None = None, buckets: int = 8, sort: list[str] | None = None) -> None:
+    """Drops and recreates a table with a running ``id`` over ``order``, which is declared as its key. With ``bucket``, rows lie in ``buckets``
+    parts by that column, sorted by ``sort``: joins and groups by it don't move them, as lookups by an index would. ``path`` makes it external."""
+    writer = surrogate_key(df, order).write.mode("overwrite")
+    writer = writer.option("path", path) if path else writer
+    if bucket:
+        writer = writer.bucketBy(buckets, bucket)
+        writer = writer.sortBy(*sort) if sort else writer
+    writer.saveAsTable(name)
+    declare_key(df.sparkSession, name, ["id"])
