@@ -17,8 +17,12 @@ An alphabet says what the symbols are, the bytes of a text or its words, and how
    ``length`` symbols. As blocks are aligned, suffixes of one column are all that have to be
    compared, so a round reads and writes as many entries as there are blocks.
 4. A key with very many different blocks is dealt to several collections of about ``group_rows``
-   blocks; digests of their strings are then merged by ranges of the digest, so that strings equal
-   across collections are found too. No group of unbounded size meets in one task.
+   blocks. So that strings equal across collections are found too, a collection gives one row for
+   each different string (its digest; a string that repeats inside gives no place, as its places
+   are known by then), an aggregation with map-side combining counts the rows of each digest, and
+   those of several collections meet their places in a join. A string that very many texts hold
+   adds one row a collection and is one row after combining; no group of unbounded size meets in
+   one task.
 
 Equal texts and equal blocks are told by their digests (128 bits, the key included) and don't pass
 the construction. What stands between steps are tables in the shared folder, read sequentially and
@@ -235,56 +239,75 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+_FOUND = pa.schema([(c, pa.int64()) for c in ("unit", "key", "bh")] + [("starts", pa.list_(pa.int32())), ("h1", pa.int64()), ("h2", pa.int64()), ("who", pa.int64()), ("start", pa.int32())])
+
+
+def _hits(unit: int, key: np.ndarray, bh: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
+    hit = np.flatnonzero(flags.any(axis=1))
+    rows = [{"unit": unit, "key": k, "bh": b, "starts": np.flatnonzero(flags[i]).tolist()} for i, k, b in zip(hit.tolist(), key[hit].tolist(), bh[hit].tolist(), strict=True)]
+    return pa.RecordBatch.from_pylist(rows, schema=_FOUND)
+
+
+def _strings(unit: int, key: np.ndarray, bh: np.ndarray, who: np.ndarray, n: np.ndarray, content: list[np.ndarray], flags: np.ndarray, length: int) -> pa.RecordBatch:
+    """Digests of the blocks' strings: without a place and ``who`` one row for each that repeats inside, the others with theirs."""
+    digests = []
+    for k, c, m in zip(key.tolist(), content, n.tolist(), strict=True):
+        view, size, seed = memoryview(np.ascontiguousarray(c)).cast("B"), c.itemsize, (k ^ unit) & 0xFFFFFFFFFFFFFFFF
+        digests += [xxhash.xxh3_128_digest(view[s * size : (s + length) * size], seed=seed) for s in range(m)]
+    both = np.frombuffer(b"".join(digests), np.dtype([("h1", "<i8"), ("h2", "<i8")]))
+    block = np.repeat(np.arange(len(n)), n)
+    start = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
+    known = flags[block, start]
+    single = np.flatnonzero(~known)
+    _, one = np.unique(both[known], return_index=True)
+    at = np.concatenate([single, np.flatnonzero(known)[one]])
+    no_place = np.arange(len(at)) >= len(single)
+    one_text = who[block[at]]
+    rows = len(at)
+    columns = {
+        "unit": pa.array(np.full(rows, unit)),
+        "key": pa.array(key[block[at]]),
+        "bh": pa.array(bh[block[at]], mask=no_place),
+        "starts": pa.nulls(rows, pa.list_(pa.int32())),
+        "h1": pa.array(both["h1"][at]),
+        "h2": pa.array(both["h2"][at]),
+        "who": pa.array(one_text, mask=no_place | (one_text == 0)),
+        "start": pa.array(start[at].astype(np.int32), mask=no_place),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), schema=_FOUND)
+
+
 def find_repeats(blocks: DataFrame, alphabets: list[Alphabet]) -> DataFrame:
-    """hits: for blocks (unit, key, bh, who, sub, subs, back, n, content), starts that repeat inside the collection; for keys of several
-    collections also packed digests of all their strings, a row for each range of digests."""
+    """For blocks (unit, key, bh, who, sub, subs, back, n, content): rows (unit, key, bh, starts) of what repeats inside the collection; for
+    keys of several collections also rows (unit, key, h1, h2, who, bh, start) of strings, ``starts`` being null."""
 
-    def of_unit(unit: int, part: pa.Table) -> list[dict]:
+    def of_unit(unit: int, part: pa.Table) -> Iterator[pa.RecordBatch]:
         a = alphabets[unit]
-        key, bh, who, subs, back, n = (part[c].to_numpy() for c in ("key", "bh", "who", "subs", "back", "n"))
+        key, bh, who, subs, back, n = (part[c].to_numpy().astype(np.int64) for c in ("key", "bh", "who", "subs", "back", "n"))
         content = [a.split(x).values for x in part["content"].to_pylist()]
-        flags = collection_repeats(content, back.astype(np.int64), n.astype(np.int64), a.length, who)
-        out = [{"unit": unit, "key": int(key[i]), "bh": int(bh[i]), "starts": np.flatnonzero(flags[i]).tolist()} for i in np.flatnonzero(flags.any(axis=1))]
-        packed: dict[tuple[int, int], bytearray] = {}
-        for i in np.flatnonzero(subs > 1):
-            tail = int(bh[i]).to_bytes(8, "little", signed=True) + int(who[i]).to_bytes(8, "little", signed=True)
-            for s in range(n[i]):
-                d = xxhash.xxh3_128_digest(content[i][s : s + a.length].tobytes())
-                packed.setdefault((int(key[i]), int.from_bytes(d[:8], "big") % int(subs[i])), bytearray()).extend(d + tail + s.to_bytes(4, "little"))
-        return out + [{"unit": unit, "key": k, "range": r, "digests": bytes(x)} for (k, r), x in packed.items()]
-
-    schema = pa.schema([("unit", pa.int32()), ("key", pa.int64()), ("bh", pa.int64()), ("starts", pa.list_(pa.int32())), ("range", pa.int64()), ("digests", pa.binary())])
+        flags = collection_repeats(content, back, n, a.length, who)
+        yield _hits(unit, key, bh, flags)
+        dealt = np.flatnonzero(subs > 1)
+        if len(dealt):
+            yield _strings(unit, key[dealt], bh[dealt], who[dealt], n[dealt], [content[i] for i in dealt], flags[dealt], a.length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, 4 << 20):
             units = part["unit"].to_numpy()
-            out = [x for u in np.unique(units).tolist() for x in of_unit(u, part.filter(pa.array(units == u)))]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+            for u in np.unique(units).tolist():
+                yield from (out for out in of_unit(u, part.filter(pa.array(units == u))) if out.num_rows)
 
     dealt = blocks.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    return dealt.mapInArrow(run, "unit int, key long, bh long, starts array<int>, range long, digests binary")
-
-
-_ENTRY = np.dtype([("digest", "V16"), ("bh", "<i8"), ("who", "<i8"), ("start", "<i4")])
-
-
-def merge_digests(packed: DataFrame) -> DataFrame:
-    """(unit, key, bh, starts) of strings whose digest stands twice or more among the collections of a key (from two texts, by ``who``)."""
+    return dealt.mapInArrow(run, "unit long, key long, bh long, starts array<int>, h1 long, h2 long, who long, start int")
 
-    def merge(group: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(group["digests"].to_pylist()), _ENTRY)
-        halves = np.ascontiguousarray(x["digest"]).view(np.uint64).reshape(-1, 2)
-        order = np.lexsort((halves[:, 1], halves[:, 0]))
-        same = np.append(False, (halves[order][1:] == halves[order][:-1]).all(axis=1))
-        twice = order[repeat_flags(same, x["who"][order])]
-        starts: dict[int, list[int]] = {}
-        for b, s in zip(x["bh"][twice].tolist(), x["start"][twice].tolist(), strict=True):
-            starts.setdefault(b, []).append(s)
-        unit, key = group["unit"][0].as_py(), group["key"][0].as_py()
-        return pa.table({"unit": pa.array([unit] * len(starts), pa.int32()), "key": pa.array([key] * len(starts), pa.int64()), "bh": pa.array(list(starts), pa.int64()), "starts": pa.array(list(starts.values()), pa.list_(pa.int32()))})
 
-    return packed.groupBy("unit", "key", "range").applyInArrow(merge, "unit int, key long, bh long, starts array<int>")
+def across_collections(strings: DataFrame) -> DataFrame:
+    """(unit, key, bh, starts) of strings that several collections hold (and two texts, by ``who``; null: several)."""
+    several = F.col("who").isNull()
+    low, high = (F.when(several, F.lit(x)).otherwise(F.col("who")) for x in (-(2**63), 2**63 - 1))
+    counts = strings.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(low).alias("low"), F.max(high).alias("high"))
+    shared = written(counts.where("times > 1 and low <> high").select("h1", "h2"), "shared")  # few as a rule, then Spark sends them to the strings
+    return strings.where("bh is not null").join(shared, ["h1", "h2"]).groupBy("unit", "key", "bh").agg(F.collect_list("start").alias("starts"))
 
 
 def repeated_starts(texts: DataFrame, alphabets: list[Alphabet], group_rows: int) -> DataFrame:
@@ -317,7 +340,7 @@ def repeated_starts(texts: DataFrame, alphabets: list[Alphabet], group_rows: int
 
         blocks = map_batches(texts.join(wanted, "tk").select("text", "cuts"), contents, "unit int, key long, bh long, who long, sub long, subs long, start int, n int, back int, content binary")
         found = written(find_repeats(blocks, alphabets), "repeats")
-        hits = found.where("digests is null").select("unit", "key", "bh", "starts").unionByName(merge_digests(found.where("digests is not null").select("unit", "key", "range", "digests")))
+        hits = found.where("starts is not null").select("unit", "key", "bh", "starts").unionByName(across_collections(found.where("starts is null").drop("starts")))
         hits = hits.groupBy("unit", "key", "bh").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
         whole = kinds.where("whole").select("unit", "key", "bh", F.lit(None).cast("array<int>").alias("starts"))
         part = kinds.where("not whole").select("unit", "key", "bh").join(hits, ["unit", "key", "bh"])

@@ -162,3 +162,21 @@ def test_rows_keep_their_columns(docs):
     out = S.remove_repeats(docs([(1, "é" + passage + "x"), (2, "y" + passage), (3, "short"), (4, None)])).orderBy("doc_id")
     assert out.columns == docs([]).columns
     assert [(r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()] == [(1, "éx", 2), (2, "y", 1), (3, "short", 5), (4, None, None)]
+
+
+def test_a_string_of_very_many_texts(docs, monkeypatch):
+    """One string in 3000 differing texts, dealt to hundreds of collections: each adds a row at most, none of them with a place to return."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    shared = word(60)
+    pairs = [(i, word(rng.randint(20, 60)) + shared + word(rng.randint(20, 60))) for i in range(3000)]
+    seen, real = {}, S.across_collections
+
+    def counted(strings):
+        times = strings.groupBy("h1", "h2").count().agg({"count": "max"}).first()[0]
+        seen.update(times=times, rows=strings.count(), blocks=strings.select("key", "bh").distinct().count())
+        return real(strings)
+
+    monkeypatch.setattr(S, "across_collections", counted)
+    assert query(docs(pairs), 40, group_rows=8) == brute(pairs, 40)
+    assert seen["times"] <= seen["blocks"] / 2
