@@ -17,12 +17,12 @@ An alphabet says what the symbols are, the bytes of a text or its words, and how
    ``length`` symbols. As blocks are aligned, suffixes of one column are all that have to be
    compared, so a round reads and writes as many entries as there are blocks.
 4. A key with very many different blocks is dealt to several collections of about ``group_rows``
-   blocks. So that strings equal across collections are found too, a collection gives one row for
-   each different string (its digest; a string that repeats inside gives no place, as its places
-   are known by then), an aggregation with map-side combining counts the rows of each digest, and
-   those of several collections meet their places in a join. A string that very many texts hold
-   adds one row a collection and is one row after combining; no group of unbounded size meets in
-   one task.
+   blocks. So that strings equal across collections are found too, a collection passes on one
+   entry for each different string (its digest; without a place if it repeats inside, as its
+   places are known by then). Entries are merged in rounds, ``fan`` collections at a time and by
+   ranges of the digest, in as many ranges as collections are merged; a string that repeats in a
+   round is one entry without a place in the next. So a group holds as many entries as a
+   collection has strings, and ``fan`` more for a string that very many texts hold.
 
 Equal texts and equal blocks are told by their digests (128 bits, the key included) and don't pass
 the construction. What stands between steps are tables in the shared folder, read sequentially and
@@ -40,6 +40,7 @@ import hashlib
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,6 @@ from .common import map_batches, sliced, table, temporary, written
 from .superblocks import GRAM, Symbols, as_bytes, as_words, joined, joined_runs, text_groups
 
 
-
 @dataclass(frozen=True)
 class Alphabet:
     split: Callable[[bytes], Symbols]
@@ -239,57 +239,67 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-_FOUND = pa.schema([(c, pa.int64()) for c in ("unit", "key", "bh")] + [("starts", pa.list_(pa.int32())), ("h1", pa.int64()), ("h2", pa.int64()), ("who", pa.int64()), ("start", pa.int32())])
+_ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("bh", "<i8"), ("who", "<i8"), ("start", "<i4")])
+_FOUND = pa.schema([("unit", pa.int32()), ("key", pa.int64()), ("bh", pa.int64()), ("starts", pa.list_(pa.int32())), ("subs", pa.int64()), ("part", pa.int64()), ("range", pa.int64()), ("entries", pa.binary())])
+FOUND = "unit int, key long, bh long, starts array<int>, subs long, part long, range long, entries binary"
+
+
+def _packed(unit: int, key: np.ndarray, subs: np.ndarray, part: np.ndarray, ranges: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+    """Entries as rows, one for each key, part and range of digests."""
+    cell = (entries["h1"] % ranges.astype(np.uint64)).astype(np.int64)
+    order = np.lexsort((cell, part, key))
+    at = np.stack([key, part, cell])[:, order]
+    first = np.flatnonzero(np.append(True, (at[:, 1:] != at[:, :-1]).any(axis=0)))
+    raw, size = entries[order].tobytes(), _ENTRY.itemsize
+    cuts = [*(first * size).tolist(), len(raw)]
+    columns = {"unit": pa.array(np.full(len(first), unit, np.int32)), "key": pa.array(key[order[first]]), "bh": pa.nulls(len(first), pa.int64()), "starts": pa.nulls(len(first), pa.list_(pa.int32()))}
+    columns |= {"subs": pa.array(subs[order[first]]), "part": pa.array(part[order[first]]), "range": pa.array(cell[order[first]]), "entries": pa.array([raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())}
+    return pa.RecordBatch.from_arrays(list(columns.values()), schema=_FOUND)
+
+
+def _hits(unit: int, found: dict[tuple[int, int], list[int]]) -> pa.RecordBatch:
+    """The starts found of each key and block."""
+    return pa.RecordBatch.from_pylist([{"unit": unit, "key": k, "bh": b, "starts": s} for (k, b), s in found.items()], schema=_FOUND)
 
 
-def _hits(unit: int, key: np.ndarray, bh: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
-    hit = np.flatnonzero(flags.any(axis=1))
-    rows = [{"unit": unit, "key": k, "bh": b, "starts": np.flatnonzero(flags[i]).tolist()} for i, k, b in zip(hit.tolist(), key[hit].tolist(), bh[hit].tolist(), strict=True)]
-    return pa.RecordBatch.from_pylist(rows, schema=_FOUND)
+def _without_place(entries: np.ndarray) -> np.ndarray:
+    out = entries.copy()
+    out["bh"], out["who"], out["start"] = 0, 0, -1
+    return out
 
 
-def _strings(unit: int, key: np.ndarray, bh: np.ndarray, who: np.ndarray, n: np.ndarray, content: list[np.ndarray], flags: np.ndarray, length: int) -> pa.RecordBatch:
-    """Digests of the blocks' strings: without a place and ``who`` one row for each that repeats inside, the others with theirs."""
+def _strings(key: np.ndarray, bh: np.ndarray, who: np.ndarray, n: np.ndarray, content: list[np.ndarray], flags: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block, entry) of the blocks' strings: one without a place for each that repeats inside, the others with theirs."""
     digests = []
     for k, c, m in zip(key.tolist(), content, n.tolist(), strict=True):
-        view, size, seed = memoryview(np.ascontiguousarray(c)).cast("B"), c.itemsize, (k ^ unit) & 0xFFFFFFFFFFFFFFFF
+        view, size, seed = memoryview(np.ascontiguousarray(c)).cast("B"), c.itemsize, k & 0xFFFFFFFFFFFFFFFF
         digests += [xxhash.xxh3_128_digest(view[s * size : (s + length) * size], seed=seed) for s in range(m)]
-    both = np.frombuffer(b"".join(digests), np.dtype([("h1", "<i8"), ("h2", "<i8")]))
+    both = np.frombuffer(b"".join(digests), np.dtype([("h1", "<u8"), ("h2", "<u8")]))
     block = np.repeat(np.arange(len(n)), n)
-    start = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
-    known = flags[block, start]
-    single = np.flatnonzero(~known)
-    _, one = np.unique(both[known], return_index=True)
-    at = np.concatenate([single, np.flatnonzero(known)[one]])
-    no_place = np.arange(len(at)) >= len(single)
-    one_text = who[block[at]]
-    rows = len(at)
-    columns = {
-        "unit": pa.array(np.full(rows, unit)),
-        "key": pa.array(key[block[at]]),
-        "bh": pa.array(bh[block[at]], mask=no_place),
-        "starts": pa.nulls(rows, pa.list_(pa.int32())),
-        "h1": pa.array(both["h1"][at]),
-        "h2": pa.array(both["h2"][at]),
-        "who": pa.array(one_text, mask=no_place | (one_text == 0)),
-        "start": pa.array(start[at].astype(np.int32), mask=no_place),
-    }
-    return pa.RecordBatch.from_arrays(list(columns.values()), schema=_FOUND)
+    entries = np.zeros(len(block), _ENTRY)
+    entries["h1"], entries["h2"], entries["bh"], entries["who"] = both["h1"], both["h2"], bh[block], who[block]
+    entries["start"] = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
+    known = flags[block, entries["start"]]
+    one = np.flatnonzero(known)[np.unique(both[known], return_index=True)[1]]
+    return np.concatenate([block[~known], block[one]]), np.concatenate([entries[~known], _without_place(entries[one])])
 
 
-def find_repeats(blocks: DataFrame, alphabets: list[Alphabet]) -> DataFrame:
-    """For blocks (unit, key, bh, who, sub, subs, back, n, content): rows (unit, key, bh, starts) of what repeats inside the collection; for
-    keys of several collections also rows (unit, key, h1, h2, who, bh, start) of strings, ``starts`` being null."""
+def find_repeats(blocks: DataFrame, alphabets: list[Alphabet], fan: int) -> DataFrame:
+    """FOUND rows for blocks (unit, key, bh, who, sub, subs, back, n, content): those with ``starts`` tell what repeats inside a collection,
+    those with ``entries`` what the first round of ``merge_entries`` takes, for keys of several collections."""
 
     def of_unit(unit: int, part: pa.Table) -> Iterator[pa.RecordBatch]:
         a = alphabets[unit]
-        key, bh, who, subs, back, n = (part[c].to_numpy().astype(np.int64) for c in ("key", "bh", "who", "subs", "back", "n"))
+        key, bh, who, sub, subs, back, n = (part[c].to_numpy().astype(np.int64) for c in ("key", "bh", "who", "sub", "subs", "back", "n"))
         content = [a.split(x).values for x in part["content"].to_pylist()]
         flags = collection_repeats(content, back, n, a.length, who)
-        yield _hits(unit, key, bh, flags)
+        hit = np.flatnonzero(flags.any(axis=1))
+        yield _hits(unit, {(k, b): np.flatnonzero(flags[i]).tolist() for i, k, b in zip(hit.tolist(), key[hit].tolist(), bh[hit].tolist(), strict=True)})
         dealt = np.flatnonzero(subs > 1)
         if len(dealt):
-            yield _strings(unit, key[dealt], bh[dealt], who[dealt], n[dealt], [content[i] for i in dealt], flags[dealt], a.length)
+            block, entries = _strings(key[dealt], bh[dealt], who[dealt], n[dealt], [content[i] for i in dealt], flags[dealt], a.length)
+            of = dealt[block]
+            yield _packed(unit, key[of], subs[of], sub[of] // fan, np.minimum(subs[of], fan), entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches, 4 << 20):
@@ -298,19 +308,46 @@ def find_repeats(blocks: DataFrame, alphabets: list[Alphabet]) -> DataFrame:
                 yield from (out for out in of_unit(u, part.filter(pa.array(units == u))) if out.num_rows)
 
     dealt = blocks.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    return dealt.mapInArrow(run, "unit long, key long, bh long, starts array<int>, h1 long, h2 long, who long, start int")
-
-
-def across_collections(strings: DataFrame) -> DataFrame:
-    """(unit, key, bh, starts) of strings that several collections hold (and two texts, by ``who``; null: several)."""
-    several = F.col("who").isNull()
-    low, high = (F.when(several, F.lit(x)).otherwise(F.col("who")) for x in (-(2**63), 2**63 - 1))
-    counts = strings.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(low).alias("low"), F.max(high).alias("high"))
-    shared = written(counts.where("times > 1 and low <> high").select("h1", "h2"), "shared")  # few as a rule, then Spark sends them to the strings
-    return strings.where("bh is not null").join(shared, ["h1", "h2"]).groupBy("unit", "key", "bh").agg(F.collect_list("start").alias("starts"))
-
-
-def repeated_starts(texts: DataFrame, alphabets: list[Alphabet], group_rows: int) -> DataFrame:
+    return dealt.mapInArrow(run, FOUND)
+
+
+def merge_round(packed: DataFrame, fan: int, reach: int) -> DataFrame:
+    """FOUND rows of one round: the places of strings that stand twice or more among up to ``reach`` collections of a key (from two texts,
+    by ``who``), and for keys of more collections the entries of the next round."""
+
+    def merge(group: pa.Table) -> pa.Table:
+        unit, key, subs, part = (group[c][0].as_py() for c in ("unit", "key", "subs", "part"))
+        x = np.frombuffer(b"".join(group["entries"].to_pylist()), _ENTRY)
+        x = x[np.lexsort((x["h2"], x["h1"]))]
+        near = np.append(False, (x["h1"][1:] == x["h1"][:-1]) & (x["h2"][1:] == x["h2"][:-1]))
+        twice = repeat_flags(near, x["who"])
+        found: dict[tuple[int, int], list[int]] = {}
+        places = x[twice & (x["start"] >= 0)]
+        for b, s in zip(places["bh"].tolist(), places["start"].tolist(), strict=True):
+            found.setdefault((key, b), []).append(s)
+        out = [_hits(unit, found)]
+        if subs > reach:
+            left = np.concatenate([x[~twice], _without_place(x[twice & ~near])])
+            same = lambda v: np.full(len(left), v, np.int64)
+            out.append(_packed(unit, same(key), same(subs), same(part // fan), same(min(subs, reach * fan)), left))
+        return pa.Table.from_batches(out, schema=_FOUND)
+
+    return packed.groupBy("unit", "key", "part", "range").applyInArrow(merge, FOUND)
+
+
+def merge_entries(found: DataFrame, subs: int, fan: int) -> list[DataFrame]:
+    """Tables of (unit, key, bh, starts) of strings that several collections hold, one a round; ``subs`` is the most collections of a key."""
+    hits, reach = [], fan
+    while subs > 1:
+        found = written(merge_round(found.where("entries is not null"), fan, reach), "merged")
+        hits.append(found.where("starts is not null").select("unit", "key", "bh", "starts"))
+        if reach >= subs:
+            break
+        reach *= fan
+    return hits
+
+
+def repeated_starts(texts: DataFrame, alphabets: list[Alphabet], group_rows: int, fan: int = 64) -> DataFrame:
     """tk and its repeated starts as (unit, run's start, n, relative starts or null for all ``n`` of the run); bucketed by tk."""
     with temporary(texts.sparkSession) as keep:
         keys = written(count_keys(texts, alphabets), "keys")  # read back, so that a hot key's part of the join can be split
@@ -339,8 +376,9 @@ def repeated_starts(texts: DataFrame, alphabets: list[Alphabet], group_rows: int
             return pa.RecordBatch.from_pylist(out, schema=schema)
 
         blocks = map_batches(texts.join(wanted, "tk").select("text", "cuts"), contents, "unit int, key long, bh long, who long, sub long, subs long, start int, n int, back int, content binary")
-        found = written(find_repeats(blocks, alphabets), "repeats")
-        hits = found.where("starts is not null").select("unit", "key", "bh", "starts").unionByName(across_collections(found.where("starts is null").drop("starts")))
+        found = written(find_repeats(blocks, alphabets, fan), "repeats")
+        most = per_key.agg(F.max(F.ceil(F.col("kinds") / group_rows))).first()[0] or 1
+        hits = reduce(DataFrame.unionByName, [found.where("starts is not null").select("unit", "key", "bh", "starts"), *merge_entries(found, most, fan)])
         hits = hits.groupBy("unit", "key", "bh").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
         whole = kinds.where("whole").select("unit", "key", "bh", F.lit(None).cast("array<int>").alias("starts"))
         part = kinds.where("not whole").select("unit", "key", "bh").join(hits, ["unit", "key", "bh"])
@@ -380,12 +418,12 @@ def byte_spans(raw: bytes, hits: list[dict] | None, copies: int, alphabet: Alpha
     return [symbols.bounds(a, b) for a, b in spans_of(symbols, own, copies, alphabet.length)]
 
 
-def repeat_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, group_rows: int = 128, passage: int = 50) -> tuple[DataFrame, DataFrame]:
+def repeat_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, group_rows: int = 128, passage: int = 50, fan: int = 64) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): the distinct texts (tk, text, copies) and tk, spans (of bytes), n_bytes, kept_sha256 and passages (spans of bytes that
     ``passage`` words cover which another text or copy holds too) of each."""
     alphabets = [byte_strings(length, gram), word_passages(passage)]
     texts = distinct_texts(docs)
-    starts = repeated_starts(texts, alphabets, group_rows)
+    starts = repeated_starts(texts, alphabets, group_rows, fan)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -411,11 +449,11 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def remove_repeats(docs: DataFrame, alphabet: Alphabet = byte_strings(), group_rows: int = 128) -> DataFrame:
+def remove_repeats(docs: DataFrame, alphabet: Alphabet = byte_strings(), group_rows: int = 128, fan: int = 64) -> DataFrame:
     """The rows of ``docs`` with repeated strings cut out of ``text`` (a character that a cut parts is dropped) and ``n_chars``
     brought up to date where that column is there. Each different text is cut once and then meets its rows, which come without theirs."""
     texts = distinct_texts(docs)
-    starts = repeated_starts(texts, [alphabet], group_rows)
+    starts = repeated_starts(texts, [alphabet], group_rows, fan)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         left = []

@@ -165,18 +165,36 @@ def test_rows_keep_their_columns(docs):
 
 
 def test_a_string_of_very_many_texts(docs, monkeypatch):
-    """One string in 3000 differing texts, dealt to hundreds of collections: each adds a row at most, none of them with a place to return."""
+    """One string in ever more differing texts, dealt to collections that are merged in rounds: all its places are found, and the largest
+    group of a round doesn't grow with the texts."""
     rng = random.Random(11)
     word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
     shared = word(60)
-    pairs = [(i, word(rng.randint(20, 60)) + shared + word(rng.randint(20, 60))) for i in range(3000)]
-    seen, real = {}, S.across_collections
-
-    def counted(strings):
-        times = strings.groupBy("h1", "h2").count().agg({"count": "max"}).first()[0]
-        seen.update(times=times, rows=strings.count(), blocks=strings.select("key", "bh").distinct().count())
-        return real(strings)
-
-    monkeypatch.setattr(S, "across_collections", counted)
-    assert query(docs(pairs), 40, group_rows=8) == brute(pairs, 40)
-    assert seen["times"] <= seen["blocks"] / 2
+    pairs = [(i, word(rng.randint(20, 60)) + shared + word(rng.randint(20, 60))) for i in range(2000)]
+    groups, real = [], S.merge_round
+
+    def counted(packed, *how):
+        sizes = packed.selectExpr("unit", "key", "part", "range", f"length(entries) / {S._ENTRY.itemsize} AS n").groupBy("unit", "key", "part", "range").agg({"n": "sum"})
+        groups.append(sizes.agg({"sum(n)": "max"}).first()[0])
+        return real(packed, *how)
+
+    monkeypatch.setattr(S, "merge_round", counted)
+    largest = []
+    for few in (500, 2000):
+        groups.clear()
+        assert query(docs(pairs[:few]), 40, group_rows=8, fan=4) == brute(pairs[:few], 40)
+        assert len(groups) >= 2
+        largest.append(max(groups))
+    assert largest[1] <= 1.5 * largest[0]
+
+
+@pytest.mark.parametrize(("seed", "fan"), [(21, 2), (22, 5)])
+def test_rounds_of_words_same_as_brute_force(docs, seed, fan):
+    rng = random.Random(seed)
+    words = lambda k: [rng.choice(("a", "b", "ö", "cd")) for _ in range(k)]
+    shared = [words(rng.randint(5, 15)) for _ in range(4)]
+    pairs = [(k, " ".join(w for _ in range(rng.randint(0, 5)) for w in words(rng.randint(0, 9)) + rng.choice(shared))) for k in range(80)]
+    split, hits = brute_passages(pairs, 5)
+    left = {r["doc_id"]: r["text"] for r in S.remove_repeats(docs(pairs), S.word_passages(5), 2, fan).collect()}
+    for k, _ in pairs:
+        assert left[k].split() == [w for i, w in enumerate(split[k]) if i not in hits[k]]
