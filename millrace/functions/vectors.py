@@ -105,6 +105,14 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return places[np.lexsort((ids[places], -scores[places]))[:k]]
 
 
+def blocked(df: DataFrame, key: str, count: int, name: str) -> DataFrame:
+    """dim, ``name``, ``name``_rows: the usable rows in ``count`` blocks for each dimension. Rows are dealt by key, vector and the partition
+    they come from, so that neither an id that many rows share nor copies of one row fill a block."""
+    rows = df.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding")).where(usable(F.col("embedding")) & F.col(key).isNotNull())
+    place = F.pmod(F.xxhash64(key, "embedding", F.spark_partition_id()), F.lit(count))
+    return rows.select(F.size("embedding").alias("dim"), place.alias(name), F.struct(key, "embedding").alias("row")).groupBy("dim", name).agg(F.collect_list("row").alias(f"{name}_rows"))
+
+
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048, query_block: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score for each of ``queries`` (query_id, embedding): blocks of queries meet blocks of vectors of their
     dimension. Rows and queries that aren't ``usable`` take no part."""
@@ -114,10 +122,6 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
     blocks = max(1, -(-n // block))
     parts = max(1, -(-queries.count() // query_block))
 
-    def blocked(df: DataFrame, key: str, count: int, name: str) -> DataFrame:
-        rows = df.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding")).where(usable(F.col("embedding")) & F.col(key).isNotNull())
-        return rows.groupBy(F.size("embedding").alias("dim"), F.pmod(F.xxhash64(key), F.lit(count)).alias(name)).agg(F.collect_list(F.struct(key, "embedding")).alias(f"{name}_rows"))
-
     held, asked = blocked(vectors, "vec_id", blocks, "block"), blocked(queries, "query_id", parts, "part")
     pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(held, ["dim", "block"]).select("part_rows", "block_rows")
 

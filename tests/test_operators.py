@@ -154,6 +154,17 @@ def test_vectors_without_direction(spark):
         assert found == {0: [0, 10, 2], 10: [0, 10, 2], 1: [1, 2, 0], 2: [2, 0, 1], 7: [7, 8], 8: [7, 8]}
 
 
+def test_an_id_that_many_rows_share_fills_no_block(spark):
+    """A third of the rows have one id, half of these are copies of one row: blocks stay near their size, every row is in one, hits are whole."""
+    rows = [(0, [1.0, i / 1000]) for i in range(1500)] + [(0, [1.0, 2.0])] * 1500 + [(i, [1.0, -i / 1000]) for i in range(1, 6001)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(40)
+    sizes = [r["n"] for r in V.blocked(df, "vec_id", 30, "block").select(F.size("block_rows").alias("n")).collect()]
+    assert sum(sizes) == len(rows) and len(sizes) == 30 and max(sizes) < 3 * len(rows) / 30
+    asked = spark.createDataFrame([(7, [1.0, 2.0]), (8, [1.0, -6.0])], "query_id long, embedding array<double>")
+    found = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in V.top_k_batch(df, asked, 3, 300).orderBy("query_id", "rank").collect()]
+    assert [x[:3] for x in found] == [(7, 1, 0), (7, 2, 0), (7, 3, 0), (8, 1, 6000), (8, 2, 5999), (8, 3, 5998)] and {x[3] for x in found[:4]} == {1.0}
+
+
 def test_guarded_statements(spark, tmp_path):
     from pyspark.errors import AnalysisException
 
