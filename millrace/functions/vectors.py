@@ -12,10 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def l2(v: Column) -> Column:
-    """To length one; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+def l2(v: Column, of_zero: float | None = None) -> Column:
+    """To length one; null components stay and don't count. A zero vector stays, or has ``of_zero`` as each component."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.coalesce(x * x, F.lit(0.0))))
+    rest = (lambda x: x.cast("double")) if of_zero is None else (lambda x: F.when(x.isNotNull(), F.lit(of_zero)))
+    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, rest))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as a product with 10^digits, halves away from zero; unlike ``round`` it keeps the sign of a zero."""
+    scaled = x * F.lit(10.0**digits)
+    whole = F.rint(scaled)
+    return F.when(F.abs(scaled - whole) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(whole) / F.lit(10.0**digits)
 
 
 def dot(a: Column, b: Column) -> Column:
