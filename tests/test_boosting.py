@@ -116,3 +116,24 @@ def test_estimator(spark, data, tmp_path):
     model.write().overwrite().save(str(tmp_path / "model"))
     assert [r["prediction"] for r in PipelineModel.load(str(tmp_path / "model")).transform(df).collect()] == found
     assert model.transform(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("share", [1.0, 0.8])
+def test_few_groups_of_many_rows_take_one_task(spark, monkeypatch, share):
+    """Passes are jobs only where bins differ in more rows than a task may hold, however many rows there are; the trees are the same."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 4, (3000, 3)).astype(float)
+    y = x[:, 0] * 2 + x[:, 1] - x[:, 2] + rng.normal(size=3000)
+    rows = spark.createDataFrame([(r, float(t)) for r, t in zip(x.tolist(), y, strict=True)], "x array<double>, y double").repartition(3)
+    growth = B.Growth(trees=8, depth=3, row_share=share)
+    spread = B.boost(rows, 3, growth, 0)
+    monkeypatch.delattr(B, "SpreadRows")
+    found = B.boost(rows, 3, growth, 64)
+    assert found[2] == spread[2]
+    if share == 1:
+        np.testing.assert_allclose(found[0] + sum(t.predict(x, found[1]) for t in found[2]), plain_predictions(x, y, growth), atol=1e-5)
+
+
+def test_sums_are_whole():
+    big = np.array([(1 << 56) + 1, -(1 << 56) - 3, (1 << 55) + 5, 7])
+    assert B.whole_sums(np.array([0, 0, 1, 1]), big, 3).tolist() == [-2, (1 << 55) + 12, 0]
