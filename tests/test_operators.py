@@ -290,3 +290,12 @@ def test_models_are_kept(spark, tmp_path):
     assert values(again) == pytest.approx(values(model))
     with pytest.raises(FileNotFoundError):
         ml.load_model(spark, str(tmp_path / "none"))
+
+
+def test_rows_of_a_small_file_use_all_cores(spark):
+    from millrace.operators import ml
+
+    rows = spark.range(100, numPartitions=1)
+    dealt = ml.spread(rows, least=30)
+    assert dealt.rdd.getNumPartitions() == 3 and sorted(r["id"] for r in dealt.collect()) == list(range(100))
+    assert ml.spread(rows).rdd.getNumPartitions() == 1
