@@ -137,3 +137,17 @@ def test_few_groups_of_many_rows_take_one_task(spark, monkeypatch, share):
 def test_sums_are_whole():
     big = np.array([(1 << 56) + 1, -(1 << 56) - 3, (1 << 55) + 5, 7])
     assert B.whole_sums(np.array([0, 0, 1, 1]), big, 3).tolist() == [-2, (1 << 55) + 12, 0]
+
+
+def test_candidates_share_bins(spark, data, monkeypatch):
+    from millrace.operators import ml
+
+    x, y = data
+    df = spark.createDataFrame([(*r[:2], float(t)) for r, t in zip(x.tolist(), y, strict=True)], "a double, b double, y double")
+    task = ml.Task("y", ("a", "b"))
+    models = {k: B.HistogramBooster(labelCol="y", growth=g) for k, g in GROWTHS.items()}
+    alone = {k: ml.fit_all(task, df, {k: m}).models[k].stages[-1].parts()[2] for k, m in models.items()}
+    calls, plain = [], B.binned
+    monkeypatch.setattr(B, "binned", lambda *a: calls.append(1) or plain(*a))
+    both = ml.fit_all(task, df, models).models
+    assert len(calls) == 1 and {k: m.stages[-1].parts()[2] for k, m in both.items()} == alone
